@@ -8,15 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import read
 from corpusloom.llm.op7_jaccard import near_duplicate_groups
+from corpusloom.llm.op8_shards import assign_shards
+from corpusloom.llm.op9_decontaminate import decontaminate
+from corpusloom.llm.op10_suffix import remove_repeats
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(read(spark, sf_dir, "documents"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op8_sharding": op8_sharding,
+        "op9_benchmark_decontamination": op9_benchmark_decontamination,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 
