@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import read
+from corpusloom.llm.op3_secrets import scan_secrets
 from corpusloom.llm.op7_jaccard import near_duplicate_groups
 from corpusloom.llm.op8_shards import assign_shards
 from corpusloom.llm.op9_decontaminate import decontaminate
 from corpusloom.llm.op10_suffix import remove_repeats
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_secret_scans": op3_secret_scans,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_sharding": op8_sharding,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
