@@ -232,10 +232,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hits.append(n)
             items.append(len(names))
             sha.append(hashlib.sha256(",".join(sorted(names)).encode()).hexdigest())
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(hits, pa.int64()), pa.array(items, pa.int64()), pa.array(sha, pa.string()), pa.array([n > 0 for n in hits], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(hits, pa.int64()), pa.array(items, pa.int64()), pa.array(sha, pa.string()), pa.array([n > 0 for n in hits], pa.bool_()), b.column(4)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "text_id"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs; cases as in find_passages."""
-    found = find_passages(docs, items, window, None, text, block_words).select("doc_id", "n_words", "spans", "items")
-    return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_id for each row of docs; cases as in find_passages."""
+    found = find_passages(docs, items, window, None, text, block_words).select("doc_id", "n_words", "spans", "items", "tid")
+    return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, text_id long")

@@ -7,19 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import read
+from corpusloom.llm.op1_quality import classify
+from corpusloom.llm.op2_ann import nearest
 from corpusloom.llm.op3_secrets import scan_secrets
+from corpusloom.llm.op4_lm import good_documents, score
+from corpusloom.llm.op5_urls import judge_urls
+from corpusloom.llm.op6_mixing import mix_sources
 from corpusloom.llm.op7_jaccard import near_duplicate_groups
 from corpusloom.llm.op8_shards import assign_shards
 from corpusloom.llm.op9_decontaminate import decontaminate
 from corpusloom.llm.op10_suffix import remove_repeats
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_id")
+
+
+def op2_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, good_documents(docs, read(spark, sf_dir, "labels")))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents")).drop("source", "shard", "text_id")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(read(spark, sf_dir, "documents"))
+    return near_duplicate_groups(read(spark, sf_dir, "documents")).drop("text_id", "group_id")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +53,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_id")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +62,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
+        "op2_approximate_nearest_neighbours": op2_approximate_nearest_neighbours,
         "op3_secret_scans": op3_secret_scans,
+        "op4_lm_scoring": op4_lm_scoring,
+        "op5_url_filters": op5_url_filters,
+        "op6_mixing_sources": op6_mixing_sources,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_sharding": op8_sharding,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
