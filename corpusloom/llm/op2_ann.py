@@ -108,9 +108,10 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, est: np.ndarray, err: np.
     bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(qids), -np.inf)
     row, col = np.nonzero((est + err >= bar[:, None]) & (ids[None, :] != qids[:, None]))
     score = np.empty(len(row))
-    for i in range(0, len(row), 100_000):
-        s = slice(i, i + 100_000)
-        score[s] = (queries[row[s]] * vectors[col[s]]).sum(1)
+    for i in range(0, len(row), 20_000):
+        s = slice(i, i + 20_000)
+        # summed in the order of the components, so that equal vectors have equal scores wherever they are
+        score[s] = np.cumsum(queries[row[s]] * vectors[col[s]], axis=1)[:, -1]
     order = np.lexsort((ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
     first = np.searchsorted(row, row)
