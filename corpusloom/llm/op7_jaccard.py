@@ -3,9 +3,11 @@
 Plan: (1) every distinct text is a set of word shingles; (2) sets of one size band use one partitioning of the hashed
 shingle domain, and the content of each part that a set fills is a signature (the enumerated subsets are single parts:
 first-level partitions with k2 = 0, which needs the fewest signatures a set); (3) signatures are dealt out and sorted by
-value, so that a group streams through a task without being held; (4) each group links its members to its first member,
-these pairs are verified on the whole sets, and components are formed; (5) groups that still span several components
-give the pairs between components, which are verified too. A pair that is never verified is already in one component.
+value, so that a group streams through a task without being held; (4) each group links its members to a head, the member
+that meets the most texts in all its groups, so that copies of one text meet that text; these pairs are verified on the
+whole sets, and components are formed; (5) in groups that still span several components, members of different ones are
+compared by sketches in blocks, and the pairs that may match are verified too. A pair that is never verified is already
+in one component, or too far apart by its sizes or sketches.
 
 Why no pair is lost: for sets of n <= m shingles with J >= t, at most h = (1-t)/(1+t) * (n + m) shingles differ, and
 each breaks one part at most. A set that fills f > h parts shares at least f - h signatures with each partner, so, in any
@@ -30,7 +32,11 @@ from corpusloom.llm.components import connected_components
 WIDTH, PERCENT = 5, 75
 #: The sample for the list of common shingles, and the share of its texts that makes a shingle common: the list has
 #: at most (mean shingles a text) / COMMON_SHARE entries, whatever the corpus holds.
-SAMPLE_TEXTS, COMMON_SHARE = 4000, 0.002
+SAMPLE_TEXTS, COMMON_SHARE = 8000, 0.0005
+#: Members of a group that meet in one task; larger groups are dealt over pairs of blocks.
+BLOCK = 1024
+#: Shingle hashes that a verifying task keeps at hand.
+HELD = 2_000_000
 _CHUNK = 4 << 20
 
 
@@ -88,16 +94,40 @@ def signatures(shingles: np.ndarray, common: np.ndarray, percent: int = PERCENT)
     return np.concatenate(found)
 
 
+def count_sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles each of 2**k equal ranges of hashes holds, a half to one on average; empty: not known.
+
+    Two sets differ in at least as many shingles as their counts do in all, so a sketch never hides a similar pair.
+    """
+    bits = max(3, len(shingles).bit_length())
+    counts = np.bincount((shingles >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _may_match(x: bytes, y: bytes, differ: int) -> bool:
+    if not x or not y:
+        return True
+    p, q = np.frombuffer(x, np.uint8).astype(np.int16), np.frombuffer(y, np.uint8).astype(np.int16)
+    if len(p) < len(q):
+        p, q = q, p
+    if len(p) > len(q):
+        p = p.reshape(len(q), -1).sum(1)
+    return int(np.abs(p - q).sum()) <= differ
+
+
 def shingle_counts(docs: DataFrame, width: int = WIDTH, text: str = "text") -> DataFrame:
-    """(tid, n) of every row: the id of its text and the size of its set. Null texts have size 0."""
+    """(tid, doc_id, n, k) of every row: the id of its text, the size of its set, and its count sketch. Null texts have size 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(s) for s in text_sets(b.column(1), width)]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["tid", "doc_id", "n"])
+            n, k = [], []
+            for s in text_sets(b.column(1), width):
+                n.append(len(s))
+                k.append(count_sketch(s))
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(k, pa.binary())], names=["tid", "doc_id", "n", "k"])
 
     body = text_of(text)
-    return docs.select(content_id(body).alias("tid"), body.alias("t"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "tid long, doc_id long, n long")
+    return docs.select(content_id(body).alias("tid"), body.alias("t"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "tid long, doc_id long, n long, k binary")
 
 
 def _common(docs: DataFrame, width: int, text: str) -> np.ndarray:
@@ -159,28 +189,94 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(sig[keep]), pa.array(heads[keep]), pa.array(tid[keep])], names=["sig", "a", "b"])
 
 
-def _packed_texts(docs: DataFrame, tids: DataFrame, text: str) -> DataFrame:
-    """(tid, z): one compressed text for each id that is asked for."""
+def _row(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("long"), F.lit(-(2**63)))
+
+
+def _cross_pairs(percent: int):
+    """Rows sorted by cell -> (a, b): pairs of one cell in different components that sizes and sketches allow.
+
+    side 0: the cell is one block, any two may pair; sides 1 and 2: only across the sides.
+    """
+
+    def pairs(rows: list[tuple[int, int, int, int, bytes]], done: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        rows = sorted(set(rows), key=lambda r: r[3])
+        n = np.array([r[3] for r in rows])
+        comp, side, tid = (np.array([r[k] for r in rows]) for k in (2, 0, 1))
+        width = np.array([len(r[4]) for r in rows])
+        # sketches of one width as a matrix, and folded to half of it
+        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            full = np.frombuffer(b"".join(rows[i][4] for i in at), np.uint8).reshape(len(at), w) if w else np.zeros((len(at), 0), np.uint8)
+            tables[w] = (at, full)
+        where = np.empty(len(rows), np.int64)
+        for at, _ in tables.values():
+            where[at] = np.arange(len(at))
+        for i in range(len(rows) - 1):
+            end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+            j = np.arange(i + 1, end)
+            j = j[(comp[j] != comp[i]) & (tid[j] != tid[i]) & ((side[j] != side[i]) | (side[i] == 0))]
+            if not len(j):
+                continue
+            differ = (100 - percent) * (n[i] + n[j]) // (100 + percent)
+            good = np.ones(len(j), bool)
+            w = int(width[i])
+            if w:
+                mine = tables[w][1][where[i]].astype(np.int16)
+                for v in np.unique(width[j]).tolist():
+                    if not v:
+                        continue
+                    these = np.flatnonzero(width[j] == v)
+                    other = tables[v][1][where[j[these]]].astype(np.int16)
+                    small = min(v, w)
+                    x = mine.reshape(small, -1).sum(1)
+                    y = other if v == small else other.reshape(len(these), small, -1).sum(2)
+                    good[these] = np.abs(y - x).sum(1) <= differ[these]
+            for k in j[good].tolist():
+                pair = (min(rows[i][1], rows[k][1]), max(rows[i][1], rows[k][1]))
+                if pair not in done:
+                    yield pair
+                    done.add(pair)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out, done = None, [], [], set()
+
+        def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for cell, *row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if cell != now:
+                    out += pairs(rows, done) if rows else []
+                    now, rows = cell, []
+                    if len(out) > 50_000:
+                        yield batch(out)
+                        out = []
+                    if len(done) > 500_000:
+                        done.clear()
+                rows.append(tuple(row))
+        out += pairs(rows, done) if rows else []
+        if out:
+            yield batch(out)
+
+    return run
+
+
+def _packed_texts(docs: DataFrame, asked: DataFrame, text: str) -> DataFrame:
+    """(tid, z): the compressed text of each id that is asked for, from the row with it that is named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        last = None
         for b in batches:
             buf, offs = string_parts(b.column(1))
-            ids, blobs = [], []
-            for k, tid in enumerate(b.column(0).to_pylist()):
-                if tid != last:
-                    ids.append(tid)
-                    blobs.append(press.compress(buf[offs[k] : offs[k + 1]].tobytes()))
-                last = tid
-            if ids:
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["tid", "z"])
+            blobs = [press.compress(buf[offs[k] : offs[k + 1]].tobytes()) for k in range(b.num_rows)]
+            yield pa.record_batch([b.column(0), pa.array(blobs, pa.binary())], names=["tid", "z"])
 
     body = text_of(text)
-    found = docs.select(content_id(body).alias("tid"), body.alias("t")).join(tids, "tid", "left_semi")
-    # A text that has many copies may be spread over tasks by a split of the join; the second pass leaves one each.
-    some = found.sortWithinPartitions("tid").mapInArrow(run, "tid long, z binary")
-    return some.groupBy("tid").agg(F.any_value("z").alias("z"))
+    rows = docs.select(content_id(body).alias("tid"), _row("doc_id").alias("row"), body.alias("t"))
+    found = rows.join(asked, ["tid", "row"], "left_semi").select("tid", "t").mapInArrow(run, "tid long, z binary")
+    return materialise(found.dropDuplicates(["tid"]), "j-texts")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -189,12 +285,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         held: dict[int, np.ndarray] = {}
+        size = 0
 
         def get(tid: int, z: bytes) -> np.ndarray:
+            nonlocal size
             if tid not in held:
-                if len(held) >= 64:
-                    held.pop(next(iter(held)))
+                while held and size > HELD:
+                    size -= len(held.pop(next(iter(held))))
                 held[tid] = next(text_sets(pa.array([unpack.decompress(z)], pa.binary()), width))
+                size += len(held[tid])
             return held[tid]
 
         for batch in batches:
@@ -220,51 +319,67 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, t
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = materialise(shingle_counts(docs, width, text), "j-rows")
-    sizes = rows.groupBy("tid").agg(F.max("n").alias("n"))
+    one = rows.join(rows.groupBy("tid").agg(F.min(_row("doc_id")).alias("row")), "tid").where(_row("doc_id") == F.col("row"))
+    sketches = materialise(one.select("tid", "row", "n", "k"), "j-sketches")
     sigs = _signature_rows(docs, _common(docs, width, text), width, percent, text)
     groups = materialise(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "tid").mapInArrow(_groups, "sig long, a long, b long"), "j-groups")
 
     def fitting(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sizes allow the similarity."""
-        one, two = (sizes.select(F.col("tid").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-        ok: Column = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        return pairs.join(one, "a").join(two, "b").where(ok).select("a", "b")
+        """The pairs whose sizes and sketches allow the similarity."""
 
-    stars = materialise(fitting(groups.select("a", "b").distinct()), "j-stars")
-    ends = stars.select(F.col("a").alias("tid")).unionAll(stars.select(F.col("b").alias("tid"))).distinct()
-    links = materialise(_verify(stars, _packed_texts(docs, ends, text), width, percent), "j-links")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                differ = ((100 - percent) * (b.column(2).to_numpy() + b.column(3).to_numpy()) // (100 + percent)).tolist()
+                good = [_may_match(x, y, h) for x, y, h in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), differ, strict=True)]
+                yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+        one, two = (sketches.select(F.col("tid").alias(c), F.col("n").alias(f"n{c}"), F.col("k").alias(f"k{c}")) for c in "ab")
+        ok: Column = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        return pairs.join(one, "a").join(two, "b").where(ok).select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long").distinct()
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("tid")).unionAll(pairs.select(F.col("b").alias("tid"))).distinct()
+        return materialise(_verify(pairs, _packed_texts(docs, ends.join(sketches.select("tid", "row"), "tid"), text), width, percent), name)
+
+    sizes = groups.groupBy("sig").agg(F.min("a").alias("a"), (F.count("*") + 1).alias("m"))
+    large = materialise(sizes.where("m > 2"), "j-large")
+    members = groups.join(large.select("sig"), "sig", "left_semi").select("sig", F.col("b").alias("t")).unionAll(large.select("sig", F.col("a").alias("t")))
+    members = materialise(members, "j-members")
+    meets = members.join(large.select("sig", "m"), "sig").groupBy("t").agg(F.sum("m").alias("meets"))
+    heads = materialise(members.join(meets, "t").groupBy("sig").agg(F.max(F.struct("meets", "t")).alias("h")).select("sig", F.col("h.t").alias("h")), "j-heads")
+    spokes = members.join(heads, "sig").where("t <> h").select(F.least("t", "h").alias("a"), F.greatest("t", "h").alias("b"))
+    couples = groups.join(large.select("sig"), "sig", "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = materialise(fitting(couples.unionAll(spokes).distinct()), "j-stars")
+    links = verified(stars, "j-links")
     comps = connected_components(links)
 
-    # Groups whose members are not in one component yet: pairs between its components.
-    named = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    head = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    seen = groups.join(head, "a", "left").join(named, "b", "left").select("sig", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    # A group with one member outside the head's component needs that member against the others only.
-    mixed = seen.groupBy("sig").agg(F.max((F.col("ca") != F.col("cb")).cast("int")).alias("mixed"), F.count("*").alias("m")).where("mixed = 1 and m > 1").select("sig")
-    member = seen.join(mixed, "sig", "left_semi")
-    member = materialise(member.select("sig", F.col("b").alias("t"), F.col("cb").alias("c")).unionAll(member.select("sig", F.col("a").alias("t"), F.col("ca").alias("c")).distinct()).join(sizes.withColumnRenamed("tid", "t"), "t"), "j-open")
-    p, q = member.alias("p"), member.alias("q")
-    near = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.t") < F.col("q.t")) & (F.col("p.c") != F.col("q.c")) & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n"))
-    rest = p.join(q, near).select(F.col("p.t").alias("a"), F.col("q.t").alias("b")).distinct()
+    # Groups that span several components: members of different ones are compared, in blocks of bounded size.
+    named = materialise(sketches.join(comps.withColumnRenamed("node", "tid"), "tid", "left").select(F.col("tid").alias("t"), F.coalesce("component", "tid").alias("c"), "n", "k"), "j-named")
+    seen = members.join(named.select("t", "c"), "t")
+    mixed = seen.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")
+    dealt = members.join(mixed, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "t")
+    cells = dealt.join(named, "t").select("cell", "side", "t", "c", "n", "k").repartition(parts, "cell").sortWithinPartitions("cell")
+    rest = cells.mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
     rest = materialise(rest.join(stars, ["a", "b"], "left_anti"), "j-rest")
     if rest.isEmpty():
         return rows, comps
-    ends = rest.select(F.col("a").alias("tid")).unionAll(rest.select(F.col("b").alias("tid"))).distinct()
-    more = materialise(_verify(rest, _packed_texts(docs, ends, text), width, percent), "j-more")
+    more = verified(rest, "j-more")
     return (rows, comps) if more.isEmpty() else (rows, connected_components(links.unionAll(more)))
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+    """One row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), text_id, group_id.
 
     Words are runs of other bytes than ASCII white space, A-Z lower-cased; a set is the distinct runs of `width` words,
     or the whole sequence if shorter. Two rows link when 100 * intersection >= percent * union. A null, empty or blank
     text has the size 0 and no link: its component is its own doc_id. Equal texts link when they have words. Repeated
-    rows stay, each with its row. A null doc_id takes part, but is never the smallest unless all of its group are null.
+    rows stay, each with its row. text_id is the id of the text and group_id the same for all rows of a group. A null doc_id takes part, but is never the smallest unless all of its group are null.
     Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     rows, comps = jaccard_links(docs, width, percent, text)
     keyed = rows.join(comps.withColumnRenamed("node", "tid"), "tid", "left")
-    keyed = keyed.select("doc_id", "n", F.coalesce("component", "tid").alias("c"))
+    keyed = keyed.select("doc_id", "n", "tid", F.coalesce("component", "tid").alias("c"))
     least = keyed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return keyed.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return keyed.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("tid").alias("text_id"), F.col("c").alias("group_id"))
