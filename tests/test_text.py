@@ -40,7 +40,7 @@ def test_scrub(value):
 
 
 def test_cuts(value):
-    assert value(lambda c: text.cut_from(c, r"References\b"), "References first. " + "body " * 20 + "References: x") == "References first. " + ("body " * 20).strip()
+    assert value(lambda c: text.cut_from(c, r"References\b"), "body " * 20 + "References: x", "References first. " + "body " * 20) == [("body " * 20).strip(), "References first. " + "body " * 20]
     assert value(lambda c: text.cut_at_earliest(c, ["END", "STOP"]), "a STOP b END") == "a"
     got = value(lambda c: text.split_answer(c, ["QUESTIONS", "Q&A"], 5), "statement QUESTIONS answers", "QUESTIONS answers")
     assert (got[0].statement, got[0].answers) == ("statement", "QUESTIONS answers") and got[1].answers is None
