@@ -128,29 +128,32 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _strength(rows: DataFrame, n: str, s: str, mean: Column) -> float:
+    """Strength of a beta prior with the given mean, by moments over the groups: m (1 - m) / v - 1 for the variance v of
+    their rates, weighted by size, less what sampling adds."""
+    rate = F.col(s) / F.col(n)
+    got = rows.agg(F.sum(F.col(n) * (rate - mean) ** 2).alias("x"), F.sum(n).alias("y"), F.count("*").alias("c"), F.avg(mean * (1 - mean)).alias("u")).first()
+    if not got.y:
+        return 2.0
+    between = max(got.x / got.y - got.u * got.c / got.y, 1e-6)
+    return min(max(got.u / between - 1, 2.0), 1e6)
+
+
 def _site_posteriors(scored: DataFrame, kind: str) -> DataFrame:
-    """(host, path, shift): the shrunk rate of a path against the global one, in log odds. kind: a column of probabilities.
+    """(h, p, shift): the shrunk rate of a path against the global one, in log odds. kind: a column of probabilities.
 
-    Means and variances over hosts, and over paths in all hosts, come from one grouped aggregate each. The strength of a
-    prior is m (1 - m) / v - 1 for the weighted variance v of the rates, less their sampling variance.
+    Documents are summed by path, paths by host, hosts in all; the driver sees one row of sums at each level.
     """
-    path = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(kind).alias("s"))
+    path = materialise(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(kind).alias("s")), "quality-paths")
     host = path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    total = host.agg(F.sum("hn").alias("tn"), F.sum("hs").alias("ts"), F.count("*").alias("hosts")).withColumn("m", F.least(F.greatest(F.col("ts") / F.col("tn"), F.lit(1e-4)), F.lit(1 - 1e-4)))
-
-    def strength(rows: DataFrame, n: str, s: str, mean: str, name: str) -> DataFrame:
-        rate = F.col(s) / F.col(n)
-        spread = rows.agg(F.sum(F.col(n) * (rate - F.col(mean)) ** 2).alias("x"), F.sum(n).alias("y"), F.count("*").alias("c"), F.avg(F.col(mean) * (1 - F.col(mean))).alias("u"))
-        between = F.greatest(F.col("x") / F.col("y") - F.col("u") * F.col("c") / F.col("y"), F.lit(1e-6))
-        return spread.select(F.least(F.greatest(F.col("u") / between - 1, F.lit(2.0)), F.lit(1e6)).alias(name))
-
-    hosts = host.crossJoin(F.broadcast(total.select("m")))
-    hosts = hosts.crossJoin(F.broadcast(strength(hosts, "hn", "hs", "m", "k")))
-    hosts = hosts.withColumn("hm", (F.col("hs") + F.col("m") * F.col("k")) / (F.col("hn") + F.col("k")))
-    paths = path.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "s", "m", "hm")
-    paths = paths.crossJoin(F.broadcast(strength(paths, "n", "s", "hm", "pk")))
-    post = (F.col("s") + F.col("hm") * F.col("pk")) / (F.col("n") + F.col("pk"))
-    shift = F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), _logit(post) - _logit(F.col("m"))))
+    total = host.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
+    mean = min(max((total.s or 0.0) / total.n, 1e-4), 1 - 1e-4) if total.n else 0.5
+    strong = _strength(host, "hn", "hs", F.lit(mean))
+    hosts = host.select(F.col("host").alias("h"), ((F.col("hs") + mean * strong) / (F.col("hn") + strong)).alias("hm"))
+    paths = path.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "s", "hm")
+    deep = _strength(paths, "n", "s", F.col("hm"))
+    post = (F.col("s") + F.col("hm") * deep) / (F.col("n") + deep)
+    shift = F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), _logit(post) - float(np.log(mean / (1 - mean)))))
     return paths.select(F.col("host").alias("h"), F.col("path").alias("p"), shift.alias("shift"))
 
 
