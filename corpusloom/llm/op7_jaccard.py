@@ -33,6 +33,8 @@ WIDTH, PERCENT = 5, 75
 #: The sample for the list of common shingles, and the share of its texts that makes a shingle common: the list has
 #: at most (mean shingles a text) / COMMON_SHARE entries, whatever the corpus holds.
 SAMPLE_TEXTS, COMMON_SHARE = 8000, 0.0005
+#: Texts of more shingles are not drawn, so the sample has a known size.
+SAMPLE_LONGEST = 20_000
 #: Members of a group that meet in one task; larger groups are dealt over pairs of blocks.
 BLOCK = 1024
 #: Shingle hashes that a verifying task keeps at hand.
@@ -130,10 +132,14 @@ def shingle_counts(docs: DataFrame, width: int = WIDTH, text: str = "text") -> D
     return docs.select(content_id(body).alias("tid"), body.alias("t"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "tid long, doc_id long, n long, k binary")
 
 
-def _common(docs: DataFrame, width: int, text: str) -> np.ndarray:
-    """Shingles in many texts of a bounded sample, chosen by hash; the list only decides which signatures come first."""
+def _common(docs: DataFrame, sketches: DataFrame, width: int, text: str) -> np.ndarray:
+    """Shingles in many texts of a bounded sample, chosen by hash; the list only decides which signatures come first.
+
+    Ids are drawn first, so that the top of an order never moves texts.
+    """
+    drawn = sketches.where(f"n > 0 and n <= {SAMPLE_LONGEST}").select("tid", "row").orderBy(F.xxhash64("tid", F.lit(5)), "tid", "row").limit(SAMPLE_TEXTS)
     body = text_of(text)
-    some = docs.select(body.alias("t"), content_id(body).alias("tid")).where(F.length("t") <= 200_000).orderBy(F.xxhash64("tid", F.lit(5)), "tid").limit(SAMPLE_TEXTS).select("t")
+    some = docs.select(content_id(body).alias("tid"), _row("doc_id").alias("row"), body.alias("t")).join(F.broadcast(drawn), ["tid", "row"], "left_semi").select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -321,7 +327,7 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, t
     rows = materialise(shingle_counts(docs, width, text), "j-rows")
     one = rows.join(rows.groupBy("tid").agg(F.min(_row("doc_id")).alias("row")), "tid").where(_row("doc_id") == F.col("row"))
     sketches = materialise(one.select("tid", "row", "n", "k"), "j-sketches")
-    sigs = _signature_rows(docs, _common(docs, width, text), width, percent, text)
+    sigs = _signature_rows(docs, _common(docs, sketches, width, text), width, percent, text)
     groups = materialise(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "tid").mapInArrow(_groups, "sig long, a long, b long"), "j-groups")
 
     def fitting(pairs: DataFrame) -> DataFrame:
