@@ -189,7 +189,8 @@ def _window_hashes(least: int):
 def repeated_spans(docs: DataFrame, least: int = LEAST, text: str = "text", most_sorted: int = MOST_SORTED) -> DataFrame:
     """(tid, spans): for each text id with something to remove, the covered byte ranges (start, end), not merged."""
     all_runs = materialise(_all_runs(docs, least, text), "s-runs")
-    again = all_runs.groupBy("kh").agg(F.count("*").alias("n"), F.min("sig").alias("s0"), F.max("sig").alias("s1")).where("n > 1").select("kh", (F.col("s0") != F.col("s1")).alias("mixed"))
+    # Written before the join, so that the join's inputs are plain exchanges whose skewed partitions can be split.
+    again = materialise(all_runs.groupBy("kh").agg(F.count("*").alias("n"), F.min("sig").alias("s0"), F.max("sig").alias("s1")).where("n > 1").select("kh", (F.col("s0") != F.col("s1")).alias("mixed")), "s-again")
     hit = materialise(all_runs.join(again, "kh"), "s-hit")
     mixed = hit.where("mixed").groupBy("kh", "sig").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at", "l", "r")).alias("p")).select("kh", "sig", "n", "p.*")
     ctx = materialise(_contexts(docs, mixed, text), "s-ctx")
