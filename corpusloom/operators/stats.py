@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.numbers import pearson
 from corpusloom.operators.evaluate import average_rank
 
 
@@ -72,7 +73,7 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Pearson correlation of average ranks within each group."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = rows.withColumn("ra", average_rank(F.col(a), by)).withColumn("rb", average_rank(F.col(b), by))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson("ra", "rb").alias("rho"))
 
 
 def mann_whitney(df: DataFrame, by: list[str], group: str, first: str, value: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.numbers import pearson
+
 
 def stance_index(df: DataFrame, date: str, label: str, period: str, by: list[str] | None = None, up: str = "hawkish", down: str = "dovish", flat: str = "neutral") -> DataFrame:
     """(up - down) / all for each period; rows without a date or a known label do not count, empty periods are absent."""
@@ -40,7 +42,7 @@ def rolling_corr(df: DataFrame, order: str, a: str, b: str, by: list[str], windo
     x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
     n = F.count(x).over(w)
     spread = (F.var_pop(x).over(w) > 1e-18) & (F.var_pop(y).over(w) > 1e-18)
-    return df.withColumn("pairs", n).withColumn("r", F.when((n >= at_least) & spread, F.corr(x, y).over(w)))
+    return df.withColumn("pairs", n).withColumn("r", F.when((n >= at_least) & spread, pearson(x, y, w)))
 
 
 def pairs(df: DataFrame, name: str, on: list[str], value: str) -> DataFrame:

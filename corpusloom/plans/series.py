@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.numbers import pearson
 from corpusloom.operators import dedup as D
 from corpusloom.operators import joins as J
 from corpusloom.operators import sampling as X
@@ -60,7 +61,7 @@ def rolling_corr(spark, sf_dir):
 @query(f"WITH {_index_sql('quarter', 'who')}, p AS (SELECT x.who AS a, y.who AS b, corr(x.stance, y.stance) AS r, count(*) AS n FROM idx x JOIN idx y ON x.period = y.period AND x.who < y.who GROUP BY ALL) SELECT a, b, round(r, 6) AS r, n FROM p")
 def pearson_pairs(spark, sf_dir):
     index = TS.stance_index(stances(spark, sf_dir), "d", "label", "quarter", ["who"])
-    return TS.pairs(index, "who", ["period"], "stance").groupBy("a", "b").agg(F.round(F.corr("va", "vb"), 6).alias("r"), F.count("*").alias("n"))
+    return TS.pairs(index, "who", ["period"], "stance").groupBy("a", "b").agg(F.round(pearson("va", "vb"), 6).alias("r"), F.count("*").alias("n"))
 
 
 _MACRO = "macro AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg(l_discount) AS discount, avg(l_quantity) AS quantity FROM lineitem GROUP BY 1)"
@@ -81,7 +82,7 @@ SELECT round(corr(stance, discount), 6) AS with_discount, round(corr(stance, qua
 def index_macro_corr(spark, sf_dir):
     quarters = macro(spark, sf_dir).groupBy(F.to_date(F.date_trunc("quarter", "month")).alias("period")).agg(F.avg("discount").alias("discount"), F.avg("quantity").alias("quantity"))
     both = TS.stance_index(stances(spark, sf_dir), "d", "label", "quarter").join(quarters, "period").dropna()
-    return both.agg(F.round(F.corr("stance", "discount"), 6).alias("with_discount"), F.round(F.corr("stance", "quantity"), 6).alias("with_quantity"), F.count("*").alias("n"))
+    return both.agg(F.round(pearson("stance", "discount"), 6).alias("with_discount"), F.round(pearson("stance", "quantity"), 6).alias("with_quantity"), F.count("*").alias("n"))
 
 
 @query(f"SELECT o_orderpriority AS who, {_LABEL} AS label, count(*) AS n, round(100.0 * count(*) / sum(count(*)) FILTER (grouping(o_orderpriority) + grouping({_LABEL}) = 0) OVER (), 6)::DOUBLE AS pct FROM orders GROUP BY ROLLUP (o_orderpriority, {_LABEL})")
