@@ -3,8 +3,8 @@
 Each vector is centred, normalised and rotated by a seeded orthogonal matrix; the signs are its code, packed to bits,
 and two scalars are kept: its norm and its inner product with its own code vector. With them, the packed bits give an
 unbiased estimate of an inner product and a bound of its error. A block of codes is estimated against a block of
-queries; the k-th best lower bound in the block is the bar, and only vectors whose upper bound reaches it are reranked
-on the original vectors. Every vector is indexed; the matrix and the centre (the mean of all vectors) are all that is
+queries; the best by estimate are scored, the k-th of them sets the bar, and only vectors whose upper bound reaches it are
+reranked on the original vectors. Every vector is indexed; the matrix and the centre (the mean of all vectors) are all that is
 fitted.
 """
 
@@ -52,11 +52,15 @@ def estimate(codes: np.ndarray, norm: np.ndarray, own: np.ndarray, with_centre:
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
     q = queries - centre
     length = np.sqrt((q**2).sum(1))
-    turned = (q @ turn.T).astype(np.float32)
-    cross = (turned @ signs.T).astype(np.float64) / np.sqrt(dim)
-    scale = norm / own
-    error = bound * length[:, None] * (norm * np.sqrt(np.maximum(0, 1 - own**2)) / own)[None, :] / np.sqrt(max(1, dim - 1))
-    return cross * scale[None, :] + with_centre[None, :] + (q @ centre)[:, None], error + 1e-6 * (1 + length[:, None] * norm[None, :])
+    # the scale of a vector goes into its signs, so that one product gives the estimates
+    signs *= (norm / own / np.sqrt(dim)).astype(np.float32)[:, None]
+    est = (q @ turn.T).astype(np.float32) @ signs.T
+    est += with_centre.astype(np.float32)[None, :]
+    est += (q @ centre).astype(np.float32)[:, None]
+    wide = bound * norm * np.sqrt(np.maximum(0, 1 - own**2)) / own / np.sqrt(max(1, dim - 1)) + 1e-5 * norm
+    err = length.astype(np.float32)[:, None] * wide.astype(np.float32)[None, :]
+    err += np.float32(1e-5 * (1 + np.abs(with_centre).max(initial=0)))
+    return est, err
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -102,20 +106,42 @@ def _queries(rows: DataFrame) -> DataFrame:
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, est: np.ndarray, err: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of the k nearest of each query in a block, after reranking by the bounds."""
-    n = len(ids)
-    lower = np.where(ids[None, :] == qids[:, None], -np.inf, est - err)
-    bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(qids), -np.inf)
-    row, col = np.nonzero((est + err >= bar[:, None]) & (ids[None, :] != qids[:, None]))
-    score = np.empty(len(row))
+    """(query, vector, score) of the k nearest of each query in a block, after reranking by the bounds.
+
+    The best by estimate are scored first; the k-th of these scores is the bar that an upper bound must reach.
+    """
+
+    def exact(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        score = np.empty(len(row))
+        for i in range(0, len(row), 20_000):
+            s = slice(i, i + 20_000)
+            # summed in the order of the components, so that equal vectors have equal scores wherever they are
+            score[s] = np.cumsum(queries[row[s]] * vectors[col[s]], axis=1)[:, -1]
+        return score
+
+    n, m = len(ids), len(qids)
+    bar = np.full(m, -np.inf)
+    first = min(n, 2 * k + 1)
+    if n > first:
+        head = np.argpartition(est, n - first, axis=1)[:, n - first :]
+        score = exact(np.repeat(np.arange(m), first), head.ravel()).reshape(m, first)
+        score[ids[head] == qids[:, None]] = -np.inf
+        bar = np.partition(score, first - k, axis=1)[:, first - k]
+    row, col = np.nonzero(est + err >= bar[:, None].astype(est.dtype))
+    other = ids[col] != qids[row]
+    row, col = row[other], col[other]
+    # rerank in two steps: plain double products against the bar, then the few that reach it in the fixed order
+    reach = np.empty(len(row), bool)
     for i in range(0, len(row), 20_000):
         s = slice(i, i + 20_000)
-        # summed in the order of the components, so that equal vectors have equal scores wherever they are
-        score[s] = np.cumsum(queries[row[s]] * vectors[col[s]], axis=1)[:, -1]
+        b = bar[row[s]]
+        with np.errstate(invalid="ignore"):
+            reach[s] = ~(np.einsum("ij,ij->i", queries[row[s]], vectors[col[s]]) < b - 1e-9 * (1 + np.abs(b)))
+    row, col = row[reach], col[reach]
+    score = exact(row, col)
     order = np.lexsort((ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
-    first = np.searchsorted(row, row)
-    top = np.arange(len(row)) - first < k
+    top = np.arange(len(row)) - np.searchsorted(row, row) < k
     return qids[row[top]], ids[col[top]], score[top]
 
 
