@@ -86,7 +86,7 @@ def count_tables(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
     summed = docs.select(text_of(text).alias("t")).mapInArrow(run, kind).repartition(2 * PARTS, "part").sortWithinPartitions("part").mapInArrow(add, kind)
     tables = np.zeros((2, size), np.int64)
     unpack = zstandard.ZstdDecompressor()
-    for r in summed.toLocalIterator():
+    for r in summed.collect():  # 2 * PARTS rows, 16 MB before packing whatever the corpus holds
         k, i = divmod(r.part, PARTS)
         tables[k, i * step : (i + 1) * step] = np.frombuffer(unpack.decompress(bytes(r.z)), np.int64)
     return tables[0], tables[1]
@@ -123,8 +123,9 @@ def _own(x: np.ndarray) -> np.ndarray:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that a label calls good: of quality 1 and not toxic."""
-    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
+    """The documents that a label calls good: of quality 1 and not toxic. Labels grow with the documents, so both sides are
+    dealt out by doc_id whatever their size."""
+    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct().hint("merge")
     return docs.join(good, docs["doc_id"].cast("long") == good["good_id"], "left_semi")
 
 
