@@ -1,13 +1,15 @@
 """LM scoring by cross-entropy difference: matched target and background n-gram models over one vocabulary.
 
-The vocabulary is shared by both models: 2**20 classes of words by hash, so it has no unknown word and a fixed size,
-whatever the corpus. Both models are bigram models of the same form, interpolated with a smoothed unigram one; the
-target model counts the words of good labelled documents, the background model those of all documents. A document's
-score is its mean loss under the background model less that under the target model, for each token: the higher, the
-more it is like the target.
-
-Counts leave each task as packed parts of its table, which are added up by part, so what is moved grows with the input
-and no task or driver sees more than the tables; these have a proven size and are read by every task.
+The vocabulary is shared by both models: every word of either corpus, and one place for unknown ones. Both models are
+bigram models of the same form, interpolated with a smoothed unigram one; the target model counts the words of good
+labelled documents, the background model those of all documents. A document's score is its mean loss under the
+background model less that under the target model, for each token: the higher, the more it is like the target.
+
+Plan: (1) documents are packed into chunks of bounded size, which are written; (2) each chunk and each task over a
+corpus counts its own n-grams, words, bigrams and whole texts alike, by 62-bit ids, and deals the sorted ids out by
+slices of the id space, of which there are as many as the input needs; (3) a slice adds up what all have counted and
+answers each chunk in the order of its ids; (4) a chunk scores its documents with the counts of its own n-grams only.
+So the tables grow with the corpus, are never whole in one place, and a common word is asked for once a chunk.
 """
 
 from __future__ import annotations
@@ -17,103 +19,189 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import NOT_SPACE, U, mix, pieces, string_parts, text_of, word_bounds, word_hashes
+from corpusloom.llm.common import _PLACES, NOT_SPACE, U, content_id, materialise, mix, pieces, string_parts, text_of, word_bounds, word_hashes
 
-BITS = 20
-PARTS = 64
-#: Weight of the bigram estimate in a model, and the count added to each class of the unigram one.
+#: Weight of the bigram estimate in a model, and the count added to each word of the unigram one.
 BIGRAM, ADDED = 0.6, 0.05
+#: Bytes of text in a chunk, and bytes of all texts for each slice of the ids; there are at least LEAST_SLICES.
+CHUNK, SLICE, LEAST_SLICES = 16 << 20, 8 << 20, 32
 _PIECE = 2 << 20
+#: The last two bits of an id say what it is of; the others are of a hash.
+PAIR, WORD, TEXT = U(0), U(1), U(2)
+_KIND = U(3)
 
 
-def token_classes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For groups of texts: the word class of each token, and the first token of each text (one number more than texts)."""
-    buf, offs = string_parts(column)
+def token_ids(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For groups of texts: the word id of each token, the id of its bigram with the one before it (none at the first of all),
+    and the first token of each text (one number more than texts)."""
     for i, j in pieces(offs, _PIECE):
         part = buf[offs[i] : offs[j]]
         starts, ends, first = word_bounds(part, offs[i : j + 1] - offs[i], NOT_SPACE)
-        yield (word_hashes(part, starts, ends) >> U(64 - BITS)).astype(np.int64), first
+        words = word_hashes(part, starts, ends)
+        pairs = np.zeros(len(words), np.uint64)
+        pairs[1:] = mix(words[:-1] * _PLACES[0] + words[1:] * _PLACES[1] + U(2))
+        yield words & ~_KIND | WORD, pairs & ~_KIND | PAIR, first
+
+
+def _text_ids(tids: np.ndarray) -> np.ndarray:
+    return mix(tids.view(np.uint64)) & ~_KIND | TEXT
+
+
+def _counted(buf: np.ndarray, offs: np.ndarray, tids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted ids of the words, bigrams and texts of some texts, and how often each occurs."""
+    found = [_text_ids(tids)]
+    for words, pairs, first in token_ids(buf, offs):
+        follows = np.ones(len(words), bool)
+        follows[first[:-1][first[:-1] < len(words)]] = False
+        found += [words, pairs[follows]]
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers with their bytes by place, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(z: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+def _dealt(ids: np.ndarray, counts: np.ndarray, slices: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(slice, ids, counts) of sorted ids; slices is a power of two."""
+    bits = slices.bit_length() - 1
+    cuts = np.searchsorted(ids, np.arange(1, slices, dtype=np.uint64) << U(64 - bits)) if bits else []
+    for k, (i, n) in enumerate(zip(np.split(ids, cuts), np.split(counts, cuts), strict=True)):
+        if len(i):
+            yield k, _pack(np.diff(i, prepend=U(0)).view(np.int64)), _pack(n)
 
 
-def _pairs(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bigram class of each token with the one before it, and where there is none before it."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    opens = np.zeros(len(tokens), bool)
-    opens[first[:-1][first[:-1] < len(tokens)]] = True
-    before[opens] = 0
-    pair = mix((before.astype(np.uint64) << U(BITS)) | tokens.astype(np.uint64)) >> U(64 - BITS)
-    return pair.astype(np.int64), opens
+_CHUNKS = "chunk long, doc_id array<long>, tid binary, offs binary, z binary"
+_COUNTS = "slice int, chunk long, kind int, ids binary, n binary"
 
 
-def count_tables(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Counts of word classes and of bigram classes over all texts: two arrays of 2**BITS numbers."""
-    size = 1 << BITS
-    step = size // PARTS
+def _chunks(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """The rows of docs packed into chunks, with numbers that stay as they are written."""
+
+    def packed(number: int, ids: list, tids: list, parts: list, sizes: list) -> pa.RecordBatch:
+        offs = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
+        z = zstandard.ZstdCompressor(level=3).compress(np.concatenate(parts).tobytes())
+        columns = [pa.array([number], pa.int64()), pa.array([[x for i in ids for x in i.to_pylist()]], pa.list_(pa.int64()))]
+        columns += [pa.array([x], pa.binary()) for x in (np.concatenate(tids).tobytes(), offs.tobytes(), z)]
+        return pa.record_batch(columns, names=["chunk", "doc_id", "tid", "offs", "z"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, size), np.int64)
-        some = False
+        number, held = TaskContext.get().partitionId() << 32, 0
+        ids, tids, parts, sizes = [], [], [], []
         for b in batches:
-            for tokens, first in token_classes(b.column(0)):
-                some = True
-                pair, opens = _pairs(tokens, first)
-                tables[0] += np.bincount(tokens, minlength=size)
-                tables[1] += np.bincount(pair[~opens], minlength=size)
-        if some:
-            press = zstandard.ZstdCompressor(level=1)
-            for k in range(2):
-                blobs = [press.compress(tables[k, i : i + step].tobytes()) for i in range(0, size, step)]
-                yield pa.record_batch([pa.array([k * PARTS + i for i in range(PARTS)], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "z"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        now, total = None, None
+            buf, offs = string_parts(b.column(2))
+            for i, j in pieces(offs, CHUNK // 4):
+                if held and held + offs[j] - offs[i] > CHUNK:
+                    yield packed(number, ids, tids, parts, sizes)
+                    number, held = number + 1, 0
+                    ids, tids, parts, sizes = [], [], [], []
+                ids.append(b.column(0).slice(i, j - i))
+                tids.append(b.column(1).to_numpy(zero_copy_only=False)[i:j].copy())
+                parts.append(buf[offs[i] : offs[j]].copy())
+                sizes.append(np.diff(offs[i : j + 1]))
+                held += int(offs[j] - offs[i])
+        if ids:
+            yield packed(number, ids, tids, parts, sizes)
+
+    body = text_of(text)
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_id(body).alias("tid"), body.alias("t")).mapInArrow(run, _CHUNKS), name)
+
+
+def _opened(b: pa.RecordBatch, k: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, offsets and text ids of a chunk whose columns tid, offs and z start at `at`."""
+    tid, offs, z = (b.column(at + c)[k].as_py() for c in range(3))
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8), np.frombuffer(offs, np.int64), np.frombuffer(tid, np.int64)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"slice": pa.int32(), "kind": pa.int32(), "chunk": pa.int64(), "n_words": pa.int64(), "total": pa.int64()}
+    return pa.record_batch([pa.array(c, kinds.get(x, pa.binary())) for x, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
+
+#: Kinds of counts: of a chunk to be scored that is part of the background or not, of the background alone, of the target alone.
+ASKS_COUNTED, ASKS, BACK, AIM = range(4)
+
+
+def _asked(chunks: DataFrame, slices: int, kind: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, chunk in enumerate(b.column(0).to_pylist()):
+                rows = [(s, chunk, kind, i, n) for s, i, n in _dealt(*_counted(*_opened(b, k, 1)), slices)]
+                if rows:
+                    yield _batch(rows, ["slice", "chunk", "kind", "ids", "n"])
+
+    return chunks.select("chunk", "tid", "offs", "z").mapInArrow(run, _COUNTS)
+
+
+def _counts(docs: DataFrame, text: str, slices: int, kind: int) -> DataFrame:
+    """Counts of a corpus, added up over about a chunk in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(parts: list, sizes: list, tids: list) -> pa.RecordBatch:
+            offs = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
+            counted = _counted(np.concatenate(parts), offs, np.concatenate(tids))
+            return _batch([(s, -1, kind, i, n) for s, i, n in _dealt(*counted, slices)], ["slice", "chunk", "kind", "ids", "n"])
+
+        parts, sizes, tids, held = [], [], [], 0
+        for b in batches:
+            buf, offs = string_parts(b.column(1))
+            for i, j in pieces(offs, CHUNK // 4):
+                if held and held + offs[j] - offs[i] > CHUNK:
+                    yield told(parts, sizes, tids)
+                    parts, sizes, tids, held = [], [], [], 0
+                parts.append(buf[offs[i] : offs[j]].copy())
+                sizes.append(np.diff(offs[i : j + 1]))
+                tids.append(b.column(0).to_numpy(zero_copy_only=False)[i:j].copy())
+                held += int(offs[j] - offs[i])
+        if parts:
+            yield told(parts, sizes, tids)
+
+    body = text_of(text)
+    return docs.select(content_id(body).alias("tid"), body.alias("t")).mapInArrow(run, _COUNTS)
+
+
+def _answers(counts: DataFrame) -> DataFrame:
+    """(slice, chunk, aim, back) for each part of a chunk, in the order of its ids; and one row of each slice, with chunk -1, of its
+    number of words and the tokens of both models."""
+
+    def tell(now: int, rows: list[tuple[int, int, bytes, bytes]]) -> Iterator[tuple]:
+        ids = [np.cumsum(_unpack(r[2]).view(np.uint64), dtype=np.uint64) for r in rows]
+        every = np.unique(np.concatenate(ids))
+        aim, back, known = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64), np.zeros(len(every), bool)
+        for (_, kind, _, n), i in zip(rows, ids, strict=True):
+            if kind != ASKS:
+                at = np.searchsorted(every, i)
+                (aim if kind == AIM else back)[at] += _unpack(n)
+                known[at] = True
+        word = (every & _KIND) == WORD
+        yield now, -1, np.array([(known & word).sum(), aim[word].sum(), back[word].sum()], np.int64).tobytes(), b""
+        for (chunk, kind, _, _), i in zip(rows, ids, strict=True):
+            if kind in (ASKS, ASKS_COUNTED):
+                at = np.searchsorted(every, i)
+                yield now, chunk, _pack(aim[at]), _pack(back[at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, names = None, [], ["slice", "chunk", "aim", "back"]
         for b in batches:
-            for part, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if part != now:
-                    if now is not None:
-                        yield pa.record_batch([pa.array([now], pa.int32()), pa.array([press.compress(total.tobytes())], pa.binary())], names=["part", "z"])
-                    now, total = part, np.zeros(step, np.int64)
-                total += np.frombuffer(unpack.decompress(z), np.int64)
-        if now is not None:
-            yield pa.record_batch([pa.array([now], pa.int32()), pa.array([press.compress(total.tobytes())], pa.binary())], names=["part", "z"])
-
-    kind = "part int, z binary"
-    summed = docs.select(text_of(text).alias("t")).mapInArrow(run, kind).repartition(2 * PARTS, "part").sortWithinPartitions("part").mapInArrow(add, kind)
-    tables = np.zeros((2, size), np.int64)
-    unpack = zstandard.ZstdDecompressor()
-    for r in summed.collect():  # 2 * PARTS rows, 16 MB before packing whatever the corpus holds
-        k, i = divmod(r.part, PARTS)
-        tables[k, i * step : (i + 1) * step] = np.frombuffer(unpack.decompress(bytes(r.z)), np.int64)
-    return tables[0], tables[1]
-
-
-class Model:
-    """Losses of tokens under counts of word and bigram classes, in nats."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray):
-        self.words, self.pairs = words.astype(np.float64), pairs.astype(np.float64)
-        self.total = float(words.sum()) + ADDED * len(words)
-
-    def loss(self, tokens: np.ndarray, pair: np.ndarray, words_out: np.ndarray, pairs_out: np.ndarray, before_out: np.ndarray) -> float:
-        """Mean loss of one text, with its own counts (those of each token, bigram and token before) taken out of the model."""
-        words = self.words[tokens] - words_out
-        single = (words + ADDED) / (self.total - (len(tokens) if words_out.any() else 0))
-        total = -np.log(single[0])
-        if len(tokens) > 1:
-            before = self.words[tokens[:-1]] - before_out
-            ratio = np.minimum((self.pairs[pair] - pairs_out) / np.maximum(before, 1), 1)
-            share = np.where(before > 0, BIGRAM, 0)
-            total -= np.log(share * ratio + (1 - share) * single[1:]).sum()
-        return float(total / len(tokens))
-
-    def holds(self, tokens: np.ndarray, pair: np.ndarray, words_out: np.ndarray, pairs_out: np.ndarray) -> bool:
-        """Whether the counts hold all of a text's: always true of a text that was counted."""
-        return bool((self.words[tokens] >= words_out).all() and (self.pairs[pair] >= pairs_out).all())
+            for s, *row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if s != now:
+                    if rows:
+                        yield _batch(list(tell(now, rows)), names)
+                    now, rows = s, []
+                rows.append(tuple(row))
+        if rows:
+            yield _batch(list(tell(now, rows)), names)
+
+    return materialise(counts.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "slice int, chunk long, aim binary, back binary"), "lm-answers")
 
 
 def _own(x: np.ndarray) -> np.ndarray:
@@ -122,6 +210,19 @@ def _own(x: np.ndarray) -> np.ndarray:
     return n[at].astype(np.float64)
 
 
+def _loss(words: np.ndarray, pairs: np.ndarray, words_out: np.ndarray | None, pairs_out: np.ndarray | None, total: float) -> float:
+    """Mean loss in nats of a text whose words and bigrams have these counts in a model, its own ones taken out where given."""
+    if words_out is not None:
+        words, pairs, total = words - words_out, pairs - pairs_out, total - len(words)
+    single = (words + ADDED) / total
+    loss = -np.log(single[0])
+    if len(words) > 1:
+        before = words[:-1]
+        share = np.where(before > 0, BIGRAM, 0)
+        loss -= np.log(share * pairs / np.maximum(before, 1) + (1 - share) * single[1:]).sum()
+    return float(loss / len(words))
+
+
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that a label calls good: of quality 1 and not toxic. Labels grow with the documents, so both sides are
     dealt out by doc_id whatever their size."""
@@ -134,31 +235,55 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
 
     Losses are means over the tokens, in nats; score = loss_background - loss_target. Without tokens (null, empty or
     blank texts) all three are null. Tokens are runs of other bytes than ASCII white space, A-Z lower-cased. background
-    is docs unless given. A text is scored without its own counts in either model (a text is taken to be in a model when
-    its counts are), so that what was trained on is judged like the rest. Repeated rows each count; an empty target gives the uniform model; other columns are ignored.
+    is docs unless given. A text is scored without its own counts in a model whose corpus holds that text (its own row
+    or a copy), so that what was trained on is judged like the rest. Repeated rows each count; an empty target gives the
+    uniform model; other columns are ignored.
     """
-    spark = docs.sparkSession
-    back, aim = count_tables(background if background is not None else docs, text), count_tables(target, text)
-    sent = spark.sparkContext.broadcast((Model(*aim), Model(*back)))
+    size = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
+    slices = max(LEAST_SLICES, 1 << (-(-size // SLICE) - 1).bit_length())
+    chunks = _chunks(docs, text, "lm-chunks")
+    counts = _asked(chunks, slices, ASKS_COUNTED if background is None else ASKS).unionAll(_counts(target, text, slices, AIM))
+    if background is not None:
+        counts = counts.unionAll(_counts(background, text, slices, BACK))
+    answers = _answers(counts)
+    sums = np.zeros(3, np.int64)
+    for r in answers.where("chunk = -1").select("aim").collect():  # one row a slice
+        sums += np.frombuffer(bytes(r.aim), np.int64)
+    totals = [float(n) + ADDED * (int(sums[0]) + 1) for n in sums[1:].tolist()]
+
+    def rated(doc_ids: list, opened: tuple, aim: np.ndarray, back: np.ndarray) -> pa.RecordBatch:
+        buf, offs, tids = opened
+        every, _ = _counted(buf, offs, tids)
+        models = [aim, back]
+        held = [m[np.searchsorted(every, _text_ids(tids))] > 0 for m in models]
+        counts, means, row = [], [[], []], 0
+        for words, pairs, first in token_ids(buf, offs):
+            at = np.searchsorted(every, words)
+            # a bigram over the edge of two texts is not counted and not asked for either
+            at_pair = np.minimum(np.searchsorted(every, pairs), len(every) - 1)
+            of_words, of_pairs = [m[at].astype(np.float64) for m in models], [m[at_pair].astype(np.float64) for m in models]
+            for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                counts.append(hi - lo)
+                out = (_own(words[lo:hi]), _own(pairs[lo + 1 : hi])) if hi > lo and (held[0][row] or held[1][row]) else (None, None)
+                for k in range(2):
+                    means[k].append(_loss(of_words[k][lo:hi], of_pairs[k][lo + 1 : hi], *(out if held[k][row] else (None, None)), totals[k]) if hi > lo else None)
+                row += 1
+        diff = [None if x is None else y - x for x, y in zip(*means, strict=True)]
+        return pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), *(pa.array(x, pa.float64()) for x in (*means, diff))], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
+        aims, backs = [], []
         for b in batches:
-            counts, means = [], [[], []]
-            for tokens, first in token_classes(b.column(1)):
-                pair, _ = _pairs(tokens, first)
-                for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    counts.append(hi - lo)
-                    t, p = tokens[lo:hi], pair[lo + 1 : hi]
-                    words_out, pairs_out = (_own(t), _own(p)) if hi > lo else (None, None)
-                    for k, m in enumerate(models):
-                        if hi == lo:
-                            means[k].append(None)
-                        elif m.holds(t, p, words_out, pairs_out):
-                            means[k].append(m.loss(t, p, words_out, pairs_out, words_out[:-1]))
-                        else:
-                            means[k].append(m.loss(t, p, np.zeros_like(words_out), np.zeros_like(pairs_out), np.zeros_like(words_out[:-1])))
-            diff = [None if x is None else y - x for x, y in zip(*means, strict=True)]
-            yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), *(pa.array(x, pa.float64()) for x in (*means, diff))], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("t")).mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+            for k, s in enumerate(b.column(1).to_pylist()):
+                if s >= 0:
+                    aims.append(_unpack(b.column(2)[k].as_py()))
+                    backs.append(_unpack(b.column(3)[k].as_py()))
+                else:
+                    yield rated(b.column(4)[k].as_py(), _opened(b, k, 5), np.concatenate(aims), np.concatenate(backs))
+                    aims, backs = [], []
+
+    said = answers.where("chunk >= 0").select("chunk", "slice", "aim", "back", F.lit(None).cast("array<long>").alias("doc_id"), *(F.lit(None).cast("binary").alias(c) for c in ("tid", "offs", "z")))
+    whole = chunks.select("chunk", F.lit(-1).alias("slice"), *(F.lit(None).cast("binary").alias(c) for c in ("aim", "back")), "doc_id", "tid", "offs", "z")
+    # the answers to a chunk in the order of slices, then the chunk
+    rows = said.unionAll(whole).repartition("chunk").sortWithinPartitions("chunk", F.col("slice") < 0, "slice")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
