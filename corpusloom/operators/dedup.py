@@ -40,8 +40,8 @@ def best_record(df: DataFrame, key: list[str], rank: Column, position: str) -> D
 def minhash_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
     """Candidate near duplicates by banded MinHash of word 3-shingles, verified by Jaccard similarity.
 
-    Each document meets only the first member of its bucket, so a bucket of n documents makes n - 1 pairs; equal texts
-    are best removed before.
+    All documents of a bucket meet, in pairs of blocks of about 1000 of them, so a bucket of n documents makes n (n - 1) / 2
+    pairs to verify; equal texts are best removed before.
     """
     words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, 3), " "))))
@@ -49,8 +49,13 @@ def minhash_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, ba
     mins = [F.array_min(F.transform("g", lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(bands * rows)]
     keyed = docs.select("id", "g", F.posexplode(F.array(*(F.xxhash64(F.lit(b), *mins[b * rows : (b + 1) * rows]) for b in range(bands)))).alias("band", "bucket"))
     light = keyed.select("id", "band", "bucket")
-    heads = light.groupBy("band", "bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = light.join(heads, ["band", "bucket"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    sizes = light.groupBy("band", "bucket").agg(F.ceil(F.count("*") / 1000).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = light.join(sizes, ["band", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("band", "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id")
+    cell = ["band", "bucket", "x", "y"]
+    met = cells.select(*cell, "own", F.col("id").alias("a")).join(cells.select(*cell, F.col("own").alias("own_b"), F.col("id").alias("b")), cell)
+    pairs = met.where("a < b and (x = y or own <> own_b)").select("a", "b").distinct()
     one, two = docs.select(F.col("id").alias("a"), F.col("g").alias("ga")), docs.select(F.col("id").alias("b"), F.col("g").alias("gb"))
     both = pairs.join(one, "a").join(two, "b").withColumn("i", F.size(F.array_intersect("ga", "gb")))
     similarity = F.col("i") / (F.size("ga") + F.size("gb") - F.col("i"))
