@@ -320,8 +320,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, components): each row's text id and set size, and the component of each text id that has a link."""
+def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, components): each row's text id and set size, and the component of each text id that has a link.
+
+    every: (rows, links) instead, with every pair (a, b), a < b, of different texts that are similar enough.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = materialise(shingle_counts(docs, width, text), "j-rows")
@@ -351,24 +354,32 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, t
     large = materialise(sizes.where("m > 2"), "j-large")
     members = groups.join(large.select("sig"), "sig", "left_semi").select("sig", F.col("b").alias("t")).unionAll(large.select("sig", F.col("a").alias("t")))
     members = materialise(members, "j-members")
+    couples = groups.join(large.select("sig"), "sig", "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def compared(named: DataFrame) -> DataFrame:
+        """The pairs of large groups that are in different components and that sizes and sketches allow, from blocks of bounded size."""
+        seen = members.join(named.select("t", "c"), "t")
+        mixed = seen.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")
+        dealt = members.join(mixed, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "t")
+        cells = dealt.join(named, "t").select("cell", "side", "t", "c", "n", "k").repartition(parts, "cell").sortWithinPartitions("cell")
+        return cells.mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
+
+    if every:  # each text is a component of its own, so that all are compared
+        alone = sketches.select(F.col("tid").alias("t"), F.col("tid").alias("c"), "n", "k")
+        return rows, verified(materialise(fitting(couples).unionAll(compared(alone)).distinct(), "j-every"), "j-links")
+
     meets = members.join(large.select("sig", "m"), "sig").groupBy("t").agg(F.sum("m").alias("meets"))
     heads = materialise(members.join(meets, "t").groupBy("sig").agg(F.max(F.struct("meets", "t")).alias("h")).select("sig", F.col("h.t").alias("h")), "j-heads")
     spokes = members.join(heads, "sig").where("t <> h").select(F.least("t", "h").alias("a"), F.greatest("t", "h").alias("b"))
-    couples = groups.join(large.select("sig"), "sig", "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     stars = materialise(fitting(couples.unionAll(spokes).distinct()), "j-stars")
     links = verified(stars, "j-links")
     comps = connected_components(links)
 
     # Groups that span several components: members of different ones are compared, in blocks of bounded size.
     named = materialise(sketches.join(comps.withColumnRenamed("node", "tid"), "tid", "left").select(F.col("tid").alias("t"), F.coalesce("component", "tid").alias("c"), "n", "k"), "j-named")
-    seen = members.join(named.select("t", "c"), "t")
-    mixed = seen.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")
-    dealt = members.join(mixed, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "t")
-    cells = dealt.join(named, "t").select("cell", "side", "t", "c", "n", "k").repartition(parts, "cell").sortWithinPartitions("cell")
-    rest = cells.mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
-    rest = materialise(rest.join(stars, ["a", "b"], "left_anti"), "j-rest")
+    rest = materialise(compared(named).join(stars, ["a", "b"], "left_anti"), "j-rest")
     if rest.isEmpty():
         return rows, comps
     more = verified(rest, "j-more")
@@ -389,3 +400,19 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PE
     keyed = keyed.select("doc_id", "n", "tid", F.coalesce("component", "tid").alias("c"))
     least = keyed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return keyed.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("tid").alias("text_id"), F.col("c").alias("group_id"))
+
+
+def near_duplicate_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, membership) of the similarity join, for sets as in near_duplicate_groups.
+
+    links: (a, b), a < b, the text ids of every two different texts that link. membership: one row for each row of docs,
+    doc_id, text_id, n_shingles and n_links, the number of other rows that it links to, copies of its text included. The
+    links of a family of k texts are up to k (k - 1) / 2.
+    """
+    rows, links = jaccard_links(docs, width, percent, text, every=True)
+    copies = materialise(rows.where("n > 0").groupBy("tid").agg(F.count("*").alias("m")), "j-copies")
+    ends = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    met = ends.join(copies.withColumnRenamed("tid", "b"), "b").groupBy(F.col("a").alias("tid")).agg(F.sum("m").alias("others"))
+    counted = rows.join(copies, "tid", "left").join(met, "tid", "left")
+    n_links = F.coalesce(F.col("m") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))
+    return links, counted.select("doc_id", F.col("tid").alias("text_id"), F.col("n").alias("n_shingles"), n_links.alias("n_links"))
