@@ -4,7 +4,9 @@ A document classifier, trained on a bounded sample of labelled rows, gives the p
 low quality, or toxic). These probabilities are summed over all documents by host and by path, and shrunk: the global
 prior is the mean over the corpus; a host's posterior is a beta posterior under a prior whose mean is the global one and
 whose strength is fitted by moments over hosts; a path's is one under its host's posterior. A document's log odds then
-move by what its path's posterior differs from the global prior, so sparse sites stay near the prior.
+move by what its path's posterior differs from the global prior, so sparse sites stay near the prior. A document's own
+evidence is left out of the posteriors that judge it. Bounds: a word's weight lies in WEIGHTS, and a site moves the log
+odds by `most_shift` at most, so that no site alone condemns or clears a document.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ SAMPLE = 6000
 BUCKETS = 1 << 18
 #: A word counts as evidence when the likelihood ratio statistic of its presence and the label is this high.
 CLEAR = 20.0
+#: Bounds of a word's weight in log odds.
+WEIGHTS = (-4, 8)
 #: How far a site's posterior may move a document's log odds.
 MOST_SHIFT = 1.0
 _PIECE = 2 << 20
@@ -96,7 +100,7 @@ def train(words: list[np.ndarray], shapes: np.ndarray, label: np.ndarray) -> Mod
         clear = ratio > CLEAR
         weights[clear] = odds[clear]
         # Words that come together share their evidence by the fitted factor below; strong ones are bounded.
-        weights = np.clip(weights, -4, 8)
+        weights = np.clip(weights, *WEIGHTS)
     x = np.column_stack([shapes, [weights[w].sum() for w in words]]) if len(y) else np.zeros((0, SHAPES + 1))
     if not (pos and neg):
         linear = np.zeros(SHAPES + 1)
@@ -107,7 +111,11 @@ def train(words: list[np.ndarray], shapes: np.ndarray, label: np.ndarray) -> Mod
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, text: str = "text") -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Features and labels of at most `most` labelled documents: (words, shapes, low quality, toxic)."""
+    """Features and labels of at most `most` labelled documents: (words, shapes, low quality, toxic).
+
+    Of several texts with one doc_id, the one with the smallest id counts. Texts are taken whole, whatever their length;
+    the driver gets at most BUCKETS numbers for each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,9 +123,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, text
             if got:
                 yield pa.record_batch([pa.array([w.astype(np.int32).tobytes() for w, _ in got], pa.binary()), pa.array([s.tobytes() for _, s in got], pa.binary()), b.column(1), b.column(2)], names=["w", "s", "quality", "toxic"])
 
+    body = text_of(text)
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), content_id(body).alias("i"), body.alias("t"))
     known = labels.select(F.col("doc_id").cast("long").alias("d"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("d is not null and quality in (0, 1) and toxic in (0, 1)")
-    some = known.orderBy(F.xxhash64("d", F.lit(11)), "d", "quality", "toxic").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), text_of(text).alias("t")).where(F.length("t") <= 1_000_000).join(F.broadcast(some), "d")
+    known = known.groupBy("d").agg(F.min(F.struct("quality", "toxic")).alias("m")).select("d", "m.*").join(rows.select("d"), "d", "left_semi")
+    some = known.orderBy(F.xxhash64("d", F.lit(11)), "d").limit(most)
+    one = rows.join(F.broadcast(some), "d").groupBy("d").agg(F.min("i").alias("i"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    rows = rows.join(F.broadcast(one), ["d", "i"]).groupBy("d", "i").agg(F.first("t").alias("t"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
     got = rows.select("t", "quality", "toxic").mapInArrow(run, "w binary, s binary, quality int, toxic int").toArrow()
     words = [np.frombuffer(x.as_py(), np.int32) for x in got.column(0)]
     shapes = np.array([np.frombuffer(x.as_py(), np.float64) for x in got.column(1)]).reshape(-1, SHAPES)
@@ -139,8 +151,9 @@ def _strength(rows: DataFrame, n: str, s: str, mean: Column) -> float:
     return min(max(got.u / between - 1, 2.0), 1e6)
 
 
-def _site_posteriors(scored: DataFrame, kind: str) -> DataFrame:
-    """(h, p, shift): the shrunk rate of a path against the global one, in log odds. kind: a column of probabilities.
+def _site_sums(scored: DataFrame, kind: str) -> tuple[DataFrame, tuple[float, float, float]]:
+    """(h, p, n, s, hn, hs): number and sum of the probabilities `kind` by path and by host; and the global mean with the
+    strengths of the priors over hosts and over paths.
 
     Documents are summed by path, paths by host, hosts in all; the driver sees one row of sums at each level.
     """
@@ -149,20 +162,27 @@ def _site_posteriors(scored: DataFrame, kind: str) -> DataFrame:
     total = host.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
     mean = min(max((total.s or 0.0) / total.n, 1e-4), 1 - 1e-4) if total.n else 0.5
     strong = _strength(host, "hn", "hs", F.lit(mean))
-    hosts = host.select(F.col("host").alias("h"), ((F.col("hs") + mean * strong) / (F.col("hn") + strong)).alias("hm"))
-    paths = path.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "s", "hm")
+    hosts = host.select(F.col("host").alias("h"), "hn", "hs", ((F.col("hs") + mean * strong) / (F.col("hn") + strong)).alias("hm"))
+    paths = path.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "s", "hn", "hs", "hm")
     deep = _strength(paths, "n", "s", F.col("hm"))
-    post = (F.col("s") + F.col("hm") * deep) / (F.col("n") + deep)
-    shift = F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), _logit(post) - float(np.log(mean / (1 - mean)))))
-    return paths.select(F.col("host").alias("h"), F.col("path").alias("p"), shift.alias("shift"))
+    return paths.select(F.col("host").alias("h"), F.col("path").alias("p"), "n", "s", "hn", "hs"), (mean, strong, deep)
+
+
+def _shift(own: Column, mean: float, strong: float, deep: float, most: float) -> Column:
+    """How far the posterior of a row's path, without the row itself, is from the global mean, in log odds."""
+    host = (F.col("hs") - own + mean * strong) / (F.col("hn") - 1 + strong)
+    path = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), (F.col("s") - own + host * deep) / (F.col("n") - 1 + deep)))
+    return F.greatest(F.lit(-most), F.least(F.lit(most), _logit(path) - float(np.log(mean / (1 - mean)))))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = SAMPLE, text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = SAMPLE, text: str = "text", most_shift: float = MOST_SHIFT) -> DataFrame:
     """doc_id, host, path, p_low, p_toxic, keep and text_id (the id of the text) for each row of docs.
 
     keep is false where the posterior probability that the row is toxic, or of low quality, is a half or more. Null
     texts are empty, and null hosts and paths a site of their own. Labels that are null, not 0 or 1, or of no document
-    do not count; without any, nothing is rejected. Repeated rows each count. An empty table gives an empty result.
+    do not count; without any, nothing is rejected; of several labels of one doc_id the worst counts. Repeated rows each
+    count. Very long texts are read whole. Other columns are ignored, whatever their names. An empty table gives an empty
+    result.
     """
     words, shapes, low, toxic = labelled_sample(docs, labels, most, text)
     models = docs.sparkSession.sparkContext.broadcast((train(words, shapes, low), train(words, shapes, toxic)) if len(low) else None)
@@ -182,8 +202,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     scored = materialise(raw.mapInArrow(run, "doc_id long, host string, path string, text_id long, low double, bad double"), "quality")
     out = scored
     for kind, name in (("low", "p_low"), ("bad", "p_toxic")):
-        site = _site_posteriors(scored, kind)
+        site, priors = _site_sums(scored, kind)
         out = out.join(F.broadcast(site) if site.limit(50_001).count() <= 50_000 else site, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
         p = F.least(F.greatest(F.col(kind), F.lit(1e-12)), F.lit(1 - 1e-12))
-        out = out.withColumn(name, 1 / (1 + F.exp(-(_logit(p) + F.coalesce("shift", F.lit(0.0)))))).drop("h", "p", "shift")
+        shift = F.coalesce(_shift(F.col(kind), *priors, most_shift), F.lit(0.0))
+        out = out.withColumn(name, 1 / (1 + F.exp(-(_logit(p) + shift)))).drop("h", "p", "n", "s", "hn", "hs")
     return out.select("doc_id", "host", "path", "p_low", "p_toxic", ((F.col("p_low") < 0.5) & (F.col("p_toxic") < 0.5)).alias("keep"), "text_id")
