@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import text_of
 
 SHARDS = 40
+#: Cells of a shard, each ranked by one task.
+CELLS = 1024
 _STEP = np.uint64(2862933555777941757)
 
 
@@ -40,8 +42,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text", key
 
     size is the UTF-8 bytes of the text plus 16 (null: 16), text_crc32 the unsigned CRC-32 of the text (null: that of an
     empty text). The law is `key`: doc_id and the number of shards decide, so repeated rows and rows with one doc_id
-    share a shard; a null doc_id counts as the key -1. Slots are gapless from 0 in each shard, in an order that the rows
-    decide. Other columns are ignored; an empty table gives an empty result.
+    share a shard; a null doc_id counts as the key -1. Slots are gapless from 0 in each shard, in an order that only the rows
+    decide: by a hash of doc_id, size and CRC, then by these. Very long texts only count by their bytes. Other columns are
+    ignored, whatever their names; an empty table gives an empty result.
 
     Slots: a shard is dealt over many cells by a hash of the row; cells are counted, and a row's slot is its rank in its
     cell plus the rows of earlier cells, so that no task needs a whole shard.
@@ -53,11 +56,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text", key
             now, grown = jump_hash(ids, shards)
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(now, pa.int64()).cast(pa.int32()), pa.array(grown, pa.int64()).cast(pa.int32())], names=["doc_id", "size", "text_crc32", "shard", "grown_shard"])
 
-    spark = docs.sparkSession
-    cells = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = F.encode(text_of(text), "UTF-8")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    placed = rows.mapInArrow(run, "doc_id long, size long, text_crc32 long, shard int, grown_shard int").withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(cells)).cast("int"))
+    placed = rows.mapInArrow(run, "doc_id long, size long, text_crc32 long, shard int, grown_shard int").withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(CELLS)).cast("int"))
     counts = placed.groupBy("shard", "cell").count()
     before = counts.select("shard", "cell", (F.sum("count").over(W.partitionBy("shard").orderBy("cell")) - F.col("count")).alias("before"))
     rank = F.row_number().over(W.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")) - 1
