@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import content_id, materialise, text_of
 
 WEIGHTS, SHARE, MOST_REPEATS, BLOCK, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 16, 20240601
-#: Words of a source that one shard holds on average: what one task orders at once.
-SHARD_WORDS = 4_000_000
+#: Words of a source that one shard holds on average, and shards of a source at most: larger sources have larger shards,
+#: so that the task that apportions sees sources x MOST_SHARDS rows at most.
+SHARD_WORDS, MOST_SHARDS = 250_000, 8192
 
 
 def word_count(text: Column) -> Column:
@@ -104,11 +105,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     target. Rows of size 0 take 0. Repeated rows stay, each with a place of its own; the order of equal rows does not
     matter for the sums. Other columns are ignored; an empty table gives an empty result.
 
-    One task sees one row for each (source, shard), which is about one for each shard_words words.
+    One task sees one row for each (source, shard): about one for each shard_words words, MOST_SHARDS a source at most. Very
+    long texts stay whole rows.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_of(text)).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text_of(text)).alias("key"), content_id(text_of(text)).alias("text_id"))
     sized = materialise(sized, "mix-sizes")
-    shards = sized.groupBy("source").agg(F.sum("size").alias("source_words")).select(F.col("source").alias("s"), F.greatest(F.ceil(F.col("source_words") / shard_words), F.lit(1)).cast("int").alias("shards"))
+    shards = sized.groupBy("source").agg(F.sum("size").alias("source_words")).select(F.col("source").alias("s"), F.least(F.greatest(F.ceil(F.col("source_words") / shard_words), F.lit(1)), F.lit(MOST_SHARDS)).cast("int").alias("shards"))
     dealt = sized.join(shards, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "key", "text_id", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int").alias("shard"))
     cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")).coalesce(1).mapInArrow(_quotas(weights, share, most, block), "source string, shard int, cell_words long, source_size long, target double, quota long")
     quotas = materialise(cells, "mix-quotas").withColumnRenamed("source", "s").withColumnRenamed("shard", "h")
