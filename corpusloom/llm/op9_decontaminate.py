@@ -58,6 +58,17 @@ class Items:
         self.owners = [sorted(x) for x in owners.values()]
         self.terms = np.unique(np.concatenate(self.windows)) if self.windows else np.zeros(0, np.uint64)
         self.codes = [np.searchsorted(self.terms, w) for w in self.windows]
+        #: the codes of each window, the first one again where it has fewer words
+        self.table = np.zeros((len(self.codes), window), np.int32)
+        for row, codes in zip(self.table, self.codes, strict=True):
+            row[:] = codes[0]
+            row[: len(codes)] = codes
+
+    def within(self, terms: np.ndarray) -> np.ndarray:
+        """The windows all of whose terms are among these."""
+        have = np.zeros(len(self.terms) + 1, bool)
+        have[terms] = True
+        return np.flatnonzero(have[self.table].all(1))
 
 
 def item_blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text") -> Iterator[Items]:
@@ -171,10 +182,8 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, slop: int | None) -
             spans: dict[int, list[int]] = defaultdict(list)
             names: dict[int, set[str]] = defaultdict(set)
             lists = {int(c): block.postings(c) for c in terms.tolist()}
-            for codes, owners in zip(items.codes, items.owners, strict=True):
-                codes = codes.tolist()
-                if any(c not in lists for c in codes):
-                    continue
+            for w in items.within(terms).tolist():
+                codes, owners = items.codes[w].tolist(), items.owners[w]
                 if slop is None:
                     places = [(s, s + len(codes)) for s in block.phrase(codes, lists).tolist()]
                 else:
@@ -197,7 +206,8 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     slop None: exact phrases of `window` words (an item of fewer words is one phrase). Else: stretches of at most
     window + slop words that hold all terms of a window in any order. Words are runs of digits, letters and bytes above
     127, A-Z lower-cased. Null texts have no words; items without words or with a null id match nothing. Repeated rows
-    stay; other columns are ignored; empty tables give empty results (no items: no match).
+    stay; very long texts are a block of their own, searched whole; other columns are ignored, whatever their names; empty
+    tables give empty results (no items: no match).
     """
     spark = docs.sparkSession
     found = []
