@@ -33,9 +33,11 @@ LOWER[0x41:0x5B] += 0x20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where spark.checkpoint.dir is unset."""
+    """The shared folder of the session; a temporary one only where spark.checkpoint.dir is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
