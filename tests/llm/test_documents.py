@@ -289,3 +289,52 @@ def test_lm(spark, none):
     held = [r for (i, n), r in got.items() if n and i >= 60]
     assert min(r.score for r in held if r.doc_id % 2) > max(r.score for r in held if not r.doc_id % 2)
     assert score(none, target).count() == 0
+
+
+def test_posteriors_against_numpy(spark):
+    """p_toxic of each row by the hierarchical posterior without the row's own evidence, computed with numpy."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.op1_quality import _shift, _site_sums, labelled_sample
+
+    rng = np.random.default_rng(7)
+    rows = [(f"h{h}" if h else None, f"p{p}", float(rng.beta(1 + h, 9))) for h in range(5) for p in range(h + 1) for _ in range(int(rng.integers(1, 30)))]
+    frame = spark.createDataFrame(rows, "host string, path string, bad double")
+    site, (mean, strong, deep) = _site_sums(frame, "bad")
+    got = frame.join(site, F.col("host").eqNullSafe(F.col("h")) & (F.col("path") == F.col("p"))).select("host", "path", "bad", _shift(F.col("bad"), mean, strong, deep, 1.0).alias("x")).collect()
+    x = np.array([r[2] for r in rows])
+    assert mean == pytest.approx(x.mean()) and len(got) == len(rows)
+
+    def strength(groups, prior):
+        n, s = np.array([len(g) for g in groups]), np.array([sum(g) for g in groups])
+        u = np.mean(prior * (1 - prior))
+        between = max((n * (s / n - prior) ** 2).sum() / n.sum() - u * len(n) / n.sum(), 1e-6)
+        return min(max(u / between - 1, 2.0), 1e6)
+
+    hosts = {h: [r[2] for r in rows if r[0] == h] for h in {r[0] for r in rows}}
+    paths = {k: [r[2] for r in rows if r[:2] == k] for k in {r[:2] for r in rows}}
+    assert strong == pytest.approx(strength(list(hosts.values()), np.full(len(hosts), mean)))
+    hm = {h: (sum(v) + mean * strong) / (len(v) + strong) for h, v in hosts.items()}
+    assert deep == pytest.approx(strength(list(paths.values()), np.array([hm[k[0]] for k in paths])))
+    for r in got:
+        h, p = hosts[r.host], paths[r.host, r.path]
+        prior = (sum(h) - r.bad + mean * strong) / (len(h) - 1 + strong)
+        q = (sum(p) - r.bad + prior * deep) / (len(p) - 1 + deep)
+        assert r.x == pytest.approx(np.clip(np.log(q / (1 - q)) - np.log(mean / (1 - mean)), -1, 1))
+    # repeated ids keep the sample in its bound, labels of no document take no place, and long texts count
+    docs = spark.createDataFrame([(1, "same text", "q")] * 500 + [(2, "word " * 300_000, "q"), (3, "c", "q"), (1, "other", "q")], "doc_id long, text string, t string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), *((k, 1, 0) for k in range(100, 200)), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    assert len(labelled_sample(docs, labels, most=2)[0]) == 2
+    words, shapes, low, toxic = labelled_sample(docs, labels)
+    assert len(words) == 3 and sorted(low.tolist()) == [0, 1, 1] and sum(toxic) == 1
+
+
+def test_slots_do_not_depend_on_settings(spark, docs):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    for n in ("3", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append(Counter(map(tuple, assign_shards(docs).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]

@@ -3,7 +3,7 @@
 import numpy as np
 
 from corpusloom.llm.op2_ann import encode, estimate, nearest, rotation
-from corpusloom.llm.op5_urls import PATTERNS, SITE_RULES, judge_urls, pattern_index
+from corpusloom.llm.op5_urls import PATTERNS, SITE_RULES, Pattern, judge_urls, rule_tokens, token_index
 
 
 def brute(vectors, k, every):
@@ -63,8 +63,27 @@ def test_urls(spark):
         by_pattern = "block" if any(re.search(p.regex, u.lower()) for p in PATTERNS) else "allow"
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, SITE_RULES[rule] if rule else by_pattern), u
     assert judge_urls(frame.limit(0)).count() == 0
-    by, rest = pattern_index(PATTERNS, {"cheap": 5, "pills": 2})
-    assert 0 in by["pills"] and "cheap" not in by and len(rest) == sum(not p.tokens for p in PATTERNS)
+    by, rest = token_index([p.tokens for p in PATTERNS], {"cheap": 5, "pills": 2})
+    assert 0 in by["pills"] and "cheap" not in by and not rest
+
+
+def test_thousands_of_rules(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    part = lambda: f"{rng.choice('abcdef')}{rng.randrange(60)}"
+    rules = {f"{part()}.{rng.choice(['com', 'org'])}/{rng.choice(['', part() + '/', part()])}": rng.choice(["allow", "block"]) for _ in range(3000)}
+    words = [part() for _ in range(400)]
+    patterns = tuple(Pattern(rf"[/.]{w}[/.]", (w,)) for w in words)
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['', 'www.', part() + '.'])}{part()}.{rng.choice(['com', 'org', 'net'])}/{part()}{rng.choice(['', '/', '/' + part()])}" for _ in range(1500)] + ["http://" + "a/" * 100_000 + "b7/"]
+    frame = spark.createDataFrame([(i, u, 1, 2, "x") for i, u in enumerate(urls)], "page_id long, url string, host int, path int, u string")
+    for r in judge_urls(frame, rules, patterns).collect():
+        fit = [x for x in rules if (r.host == x.split("/")[0] or r.host.endswith("." + x.split("/")[0])) and r.path.startswith("/" + x.split("/", 1)[1])]
+        hit = [k for k, p in enumerate(patterns) if re.search(p.regex, urls[r.page_id])]
+        assert r.rule == max(fit, key=len, default=None) and r.pattern == (hit[0] if hit else None)
+        assert r.verdict == (rules[r.rule] if r.rule else "block" if hit else "allow") and r.n_candidates <= 12
+    assert rule_tokens("example.net/en/a") == ("example", "net", "en")
 
 
 def test_pipeline(spark, sf):
@@ -93,3 +112,21 @@ def test_pipeline(spark, sf):
     for i in dropped:
         mine = {tuple(w[k : k + 5]) for w in [text[i].lower().split()] for k in range(len(w) - 4)}
         assert any(len(mine & s) >= 0.3 * len(mine | s) for s in sets.values())
+
+
+def test_pipeline_cases(spark, sf):
+    """Nulls, empty and repeated rows, extra columns and an empty table go through every stage."""
+    import corpus_pipeline as P
+
+    long = " ".join(f"w{k % 7919}" for k in range(60_000))
+    rows = [(1, "a good text of some plain words here", "en", "s", 1, 2, 3), (1, "a good text of some plain words here", "en", "s", 1, 2, 3), (2, None, None, None, None, None, None), (None, "", "en", "s", 1, 2, 3), (3, long, "en", None, 1, 2, 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, host int, size int")
+    for start in (frame, frame.limit(0)):
+        docs = start
+        for name, stage in P.STAGES:
+            docs = stage(spark, docs, sf)
+            assert name == P.STAGES[-1][0] or docs.columns == frame.columns
+        if start is frame:
+            assert {r.doc_id for r in docs.collect()} <= {1, 2, None, 3} and docs.where("doc_id = 3").count() >= 1
+        else:
+            assert docs.count() == 0
