@@ -1,4 +1,9 @@
-"""The training-data pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The training-data pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+Every stage takes null texts as empty ones and a null doc_id as a key of its own, reads very long texts whole, judges rows
+that agree in doc_id and text alike (deduplication keeps one of them), keeps further columns whatever their names but the
+few kept for the pipeline, and gives an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -13,12 +18,15 @@ from corpusloom.llm.op8_shards import assign_shards
 from corpusloom.llm.op9_decontaminate import decontaminate
 
 
-KEY = ["_d", "_t"]
+#: Names of helper columns, which no column of docs may have.
+KEY, TIMES, COPY, ONE = ["__pipeline_id", "__pipeline_text"], "__pipeline_times", "__pipeline_copy", "__pipeline_one"
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
     """docs with the columns KEY, by which decisions are joined to rows: doc_id (a number in the place of null) and text."""
-    return docs.withColumns({"_d": _id("doc_id"), "_t": content_id(text_of())})
+    if clash := {c.lower() for c in docs.columns} & {*KEY, TIMES, COPY, ONE}:
+        raise ValueError(f"column names kept for the pipeline: {sorted(clash)}")
+    return docs.withColumns({KEY[0]: _id("doc_id"), KEY[1]: content_id(text_of())})
 
 
 def _id(col: str) -> Column:
@@ -26,7 +34,7 @@ def _id(col: str) -> Column:
 
 
 def _decided(rows: DataFrame, *more: Column) -> DataFrame:
-    return rows.select(_id("doc_id").alias("_d"), F.col("text_id").alias("_t"), *more)
+    return rows.select(_id("doc_id").alias(KEY[0]), F.col("text_id").alias(KEY[1]), *more)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +48,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = materialise(near_duplicate_groups(docs), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")).alias("first")
     kept = groups.where("n_shingles > 0").groupBy("group_id").agg(first).select("first.*")
-    kept = _decided(kept, F.lit(True).alias("_one")).unionAll(_decided(groups.where("n_shingles = 0"), F.lit(False)).distinct())
+    kept = _decided(kept, F.lit(True).alias(ONE)).unionAll(_decided(groups.where("n_shingles = 0"), F.lit(False)).distinct())
     found = _with_key(docs).join(kept, KEY)
-    return found.where("_one").dropDuplicates(KEY).unionAll(found.where("not _one")).select(*docs.columns)
+    return found.where(F.col(ONE)).dropDuplicates(KEY).unionAll(found.where(~F.col(ONE))).select(*docs.columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +65,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without words carry no tokens to mix, and stay once.
     """
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
-    taken = _decided(mix_sources(docs), times.alias("_n")).groupBy(*KEY).agg(F.max("_n").alias("_n")).where("_n > 0")
-    return _with_key(docs).join(taken, KEY).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    taken = _decided(mix_sources(docs), times.alias(TIMES)).groupBy(*KEY).agg(F.max(TIMES).alias(TIMES)).where(F.col(TIMES) > 0)
+    return _with_key(docs).join(taken, KEY).withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col(TIMES)))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +82,8 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: No SQL: the stages rest on trained models and hashes that SQL does not have. tests/llm holds a brute-force version.
+#: No SQL: the stages rest on trained models and hashes that SQL does not have. tests/llm holds
+#: what each stage must keep against brute force.
 ORACLE_SQL = None
 
 
