@@ -6,7 +6,9 @@ They run in Arrow batches, a document at a time, so memory is bounded by the lon
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,63 +19,64 @@ _END = re.compile(r"""[.!?]["'”’)\]]*$""")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
+def _paragraphs(lines: list[str], opens: Callable[[int, int], bool]) -> list[str]:
+    """Lines joined by blanks into paragraphs; opens(s, i): line i opens one where the last began at line s."""
+    starts = [0] if lines else []
+    for i in range(1, len(lines)):
+        if opens(starts[-1], i):
+            starts.append(i)
+    return [" ".join(lines[s:e]) for s, e in zip(starts, [*starts[1:], len(lines)])]
+
+
 def reflow_text(text: str, wrap: int = 45) -> str:
-    """Lines of a paragraph joined: a next line that goes on (lower case, a mark), a line that ends in a comma or
-    semicolon, or a paragraph of at least `wrap` characters that ends no sentence. Blank lines close paragraphs."""
-    out: list[str] = []
-    held = ""
-    for line in (x.strip() for x in text.split("\n")):
-        if not line:
-            if held:
-                out.append(held)
-            held = ""
-            out.append("")
-        elif held and (line[0].islower() or line[0] in ",;)" or held[-1] in ",;" or (len(held) >= wrap and not _END.search(held))):
-            held = f"{held} {line}"
-        else:
-            if held:
-                out.append(held)
-            held = line
-    if held:
-        out.append(held)
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
+    """Lines of each block between blank lines joined: a line that goes on (lower case, a mark), one after a comma or
+    semicolon, and one after a paragraph of at least `wrap` characters so far whose last line ends no sentence."""
+
+    def block(lines: list[str]) -> str:
+        before = list(accumulate((len(x) + 1 for x in lines), initial=0))
+
+        def opens(s: int, i: int) -> bool:
+            goes_on = lines[i][0].islower() or lines[i][0] in ",;)" or lines[i - 1][-1] in ",;"
+            return not goes_on and (before[i] - before[s] - 1 < wrap or _END.search(lines[i - 1]) is not None)
+
+        return "\n".join(_paragraphs(lines, opens))
+
+    lines = (x.strip() for x in text.split("\n"))
+    return "\n\n".join(block(list(part)) for full, part in groupby(lines, bool) if full)
 
 
 def bridge_text(text: str, min_words: int = 4, bridge_words: int = 6) -> str:
     """Paragraphs rejoined over breaks: one that ends no sentence takes the next block if that starts in lower case and
-    has enough words; inside a block, a capital after a sentence end with enough words before opens a paragraph."""
-    out: list[str] = []
-    broke = True
-    for line in (x.strip() for x in text.split("\n")):
-        if not line:
-            broke = True
-        elif not out:
-            out.append(line)
-            broke = False
-        else:
-            last = out[-1]
-            done = bool(_END.search(last))
-            if broke:
-                on = not done and line[0].islower() and len(last.split()) >= bridge_words
-            else:
-                on = not (done and line[0].isupper() and len(last.split()) >= min_words)
-            if on:
-                out[-1] = f"{last} {line}"
-            else:
-                out.append(line)
-            broke = False
-    return "\n\n".join(out)
+    the paragraph has enough words; inside a block, a capital or an opening quote after a line of enough words that ends
+    a sentence opens a paragraph."""
+    numbered = [(k, x.strip()) for k, x in enumerate(text.split("\n")) if x.strip()]
+    lines = [x for _, x in numbered]
+    words = list(accumulate((len(x.split()) for x in lines), initial=0))
+
+    def opens(s: int, i: int) -> bool:
+        last, first = lines[i - 1][-1], lines[i][0]
+        if numbered[i][0] - numbered[i - 1][0] > 1:
+            return last in ".?!\u201d\u2019\"" or not first.islower() or words[i] - words[s] < bridge_words
+        return last in ".?!\u201d\"" and (first.isupper() or first in "\u201c\"") and words[i] - words[i - 1] >= min_words
+
+    return "\n\n".join(_paragraphs(lines, opens))
+
+
+_CUT = re.compile(r"([A-Za-z\u00C0-\u00FF]{2,})-[ \t]*\n[ \t]*([a-z\u00E0-\u00FF]{2,})")
 
 
 def dehyphenate_text(text: str) -> str:
-    """Words cut at line ends: joined if the document has the joined word, or does not have the hyphenated one."""
-    known = {w.lower() for w in re.findall(r"[\w-]+", text)}
+    """Words of letters cut at line ends before a small letter: joined if the document has the joined word, or does not
+    have the hyphenated one. A word may be cut several times."""
+    known = {w.lower() for w in re.findall(r"[A-Za-z\u00C0-\u00FF]+(?:-[A-Za-z\u00C0-\u00FF]+)*", text)}
 
     def mend(m: re.Match) -> str:
         a, b = m.group(1), m.group(2)
         return f"{a}{b}" if (a + b).lower() in known or f"{a}-{b}".lower() not in known else f"{a}-{b}"
 
-    return re.sub(r"(\w+)-[ \t]*\n[ \t]*(\w+)", mend, text)
+    while (new := _CUT.sub(mend, text)) != text:
+        text = new
+    return text
 
 
 def count_tokens(text: str) -> int:
@@ -120,23 +123,16 @@ def pack_chunks(text: str, target: int = 2048, least: int = 64) -> list[tuple[st
 
 
 def pack_ids(sentences: list[list[int]], room: int = 510, first: int = 101, last: int = 102) -> list[tuple[list[int], list[int]]]:
-    """Token ids packed into blocks of at most `room`, with the two special ids around: (ids, mask of the special ones)."""
-    out, buf = [], []
-
-    def flush() -> None:
-        nonlocal buf
-        if buf:
-            out.append(([first, *buf, last], [1, *[0] * len(buf), 1]))
-        buf = []
-
-    for ids in sentences:
-        for i in range(0, len(ids), room):
-            part = ids[i : i + room]
-            if len(buf) + len(part) > room:
-                flush()
-            buf += part
-    flush()
-    return out
+    """Token ids packed into blocks of at most `room`, with the two special ids around: (ids, mask of the special ones).
+
+    Sentences are whole in a block if they fit one; a block ends where the cumulative size passes its room."""
+    parts = [ids[i : i + room] for ids in sentences for i in range(0, len(ids), room)]
+    ends = list(accumulate(map(len, parts)))
+    cuts = [0]
+    while cuts[-1] < len(parts):
+        cuts.append(bisect_right(ends, (ends[cuts[-1] - 1] if cuts[-1] else 0) + room))
+    blocks = [[x for p in parts[i:j] for x in p] for i, j in zip(cuts, cuts[1:])]
+    return [([first, *b, last], [1, *[0] * len(b), 1]) for b in blocks]
 
 
 def _scalar(f):
