@@ -37,16 +37,21 @@ def best_record(df: DataFrame, key: list[str], rank: Column, position: str) -> D
     return best.select("_row.*")
 
 
-def minhash_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
-    """Candidate near duplicates by banded MinHash of word 3-shingles, verified by Jaccard similarity.
+def minhash_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.75, bands: int = 16, rows: int = 4, width: int = 5) -> DataFrame:
+    """Candidate near duplicates by banded MinHash of shingles of `width` words, verified by Jaccard similarity.
 
     All documents of a bucket meet, in pairs of blocks of about 1000 of them, so a bucket of n documents makes n (n - 1) / 2
     pairs to verify; equal texts are best removed before.
     """
     words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, 3), " "))))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, width), " "))))
     docs = df.select(F.col(key).alias("id"), words.alias("w")).where(F.size("w") > 0).select("id", grams.alias("g"))
-    mins = [F.array_min(F.transform("g", lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(bands * rows)]
+
+    def least(k: int) -> Column:
+        """The smallest hash number k of the shingles. (A function of two arguments would be given the place as well.)"""
+        return F.array_min(F.transform("g", lambda h: F.xxhash64(h, F.lit(k))))
+
+    mins = [least(k) for k in range(bands * rows)]
     keyed = docs.select("id", "g", F.posexplode(F.array(*(F.xxhash64(F.lit(b), *mins[b * rows : (b + 1) * rows]) for b in range(bands)))).alias("band", "bucket"))
     light = keyed.select("id", "band", "bucket")
     sizes = light.groupBy("band", "bucket").agg(F.ceil(F.count("*") / 1000).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -60,3 +65,16 @@ def minhash_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, ba
     both = pairs.join(one, "a").join(two, "b").withColumn("i", F.size(F.array_intersect("ga", "gb")))
     similarity = F.col("i") / (F.size("ga") + F.size("gb") - F.col("i"))
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def near_duplicate_classes(df: DataFrame, key: str, text: str, **how) -> DataFrame:
+    """One row for each row: key, class_id (the smallest key with the same normalised text) and n_links, the other rows that
+    it is a copy or a near duplicate of. Pairs are formed between classes only; blank and null texts have no links."""
+    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_k", dedup_key("_t"))
+    classes = rows.groupBy("_k").agg(F.min_by(F.struct(key, "_t"), key).alias("_r"), F.count("*").alias("_n")).select("_k", F.col(f"_r.{key}").alias("class_id"), F.col("_r._t").alias("_t"), "_n")
+    pairs = minhash_pairs(classes, "class_id", "_t", **how).select("a", "b")
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    met = both.join(classes.select(F.col("class_id").alias("b"), "_n"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("_n").alias("_m"))
+    known = classes.select("_k", "class_id", "_n", (F.trim("_t") != "").alias("_full")).join(met, "class_id", "left")
+    n_links = F.when(F.col("_full"), F.col("_n") - 1 + F.coalesce("_m", F.lit(0))).otherwise(F.lit(0))
+    return rows.select(key, "_k").join(known, "_k").select(key, "class_id", n_links.cast("long").alias("n_links"))
