@@ -33,9 +33,9 @@ def pattern(terms: list[str], dialect: str = "word") -> str:
     if dialect == "word":
         return rf"(?i)(?<![A-Za-z])(?:{_alternatives(terms)})(?![A-Za-z])"
     if dialect == "plural":
-        return rf"(?i)\b(?:{_alternatives(terms, 's?')})\b"
+        return rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{_alternatives(terms, 's?')})(?![\p{{L}}\p{{N}}_])"
     if dialect == "inflected":
-        return rf"(?i)\b(?:{_alternatives(terms)})(?:e?s)?\b"
+        return rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{_alternatives(terms)})(?:e?s)?(?![\p{{L}}\p{{N}}_])"
     if dialect == "substring":
         return "(?i)(?:" + "|".join(re.escape(t) for t in terms) + ")"
     raise ValueError(f"dialect {dialect!r} is none of {DIALECTS}")

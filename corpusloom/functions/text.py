@@ -128,9 +128,9 @@ def unwrap_lines(c: str | Column) -> Column:
 
 def dehyphenate(c: str | Column) -> Column:
     """Hyphens at line ends: kept with a blank before and/or/to/the, kept before a capital or digit, else joined."""
-    c = F.regexp_replace(_col(c), r"(\w)-[ \t]*\n[ \t]*(and|or|to|the)\b", "$1- $2")
-    c = F.regexp_replace(c, r"(\w)-[ \t]*\n[ \t]*([\p{Lu}\d])", "$1-$2")
-    return F.regexp_replace(c, r"(\w)-[ \t]*\n[ \t]*(\w)", "$1$2")
+    c = F.regexp_replace(_col(c), r"([\p{L}\p{N}_])-[ \t]*\n[ \t]*(and|or|to|the)(?![\p{L}\p{N}_])", "$1- $2")
+    c = F.regexp_replace(c, r"([\p{L}\p{N}_])-[ \t]*\n[ \t]*([\p{Lu}\p{Nd}])", "$1-$2")
+    return F.regexp_replace(c, r"([\p{L}\p{N}_])-[ \t]*\n[ \t]*([\p{L}\p{N}_])", "$1$2")
 
 
 def cut_from(c: str | Column, mark: str, after_share: float = 0.5) -> Column:

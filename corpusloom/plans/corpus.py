@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicons as LX
@@ -31,9 +32,11 @@ g AS (SELECT source, length(text) AS chars, length(text) >= 200 AND {_SHARE} >=
 SELECT source, count(*) AS docs, count(*) FILTER (good) AS passed, count(*) FILTER (good AND first_) AS kept, coalesce(sum(chars) FILTER (good AND first_), 0)::BIGINT AS kept_chars FROM g GROUP BY source""")
 def corpus_exact_dedup(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", "source", F.length("text").alias("chars"), TX.quality_ok("text").alias("good"), D.dedup_key("text").alias("k"))
-    first = rows.groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
-    kept = F.col("good") & F.coalesce("first", F.lit(False))
-    return rows.drop("k").join(first, "doc_id", "left").groupBy("source").agg(F.count("*").alias("docs"), F.count_if("good").alias("passed"), F.count_if(kept).alias("kept"), F.coalesce(F.sum(F.when(kept, F.col("chars"))), F.lit(0)).cast("long").alias("kept_chars"))
+    # copies are counted by source before keys meet, so a key has as many rows as sources
+    by = rows.groupBy("k", "source").agg(F.count("*").alias("n"), F.count_if("good").alias("passed"), F.min(F.struct("doc_id", "good", "chars")).alias("first"))
+    kept = (F.col("first.doc_id") == F.min("first.doc_id").over(W.partitionBy("k"))) & F.coalesce(F.col("first.good"), F.lit(False))
+    out = by.select("source", "n", "passed", "first", kept.alias("kept")).groupBy("source")
+    return out.agg(F.sum("n").alias("docs"), F.sum("passed").alias("passed"), F.count_if("kept").alias("kept"), F.coalesce(F.sum(F.when(F.col("kept"), F.col("first.chars"))), F.lit(0)).cast("long").alias("kept_chars"))
 
 
 @query(f"SELECT doc_id, length(text) AS n_chars, len(list_filter(string_split_regex(text, {_WS}), lambda x: x <> ''))::INTEGER AS n_words, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits, len(string_split(text, chr(10)))::INTEGER AS n_lines, round({_SHARE}, 9) AS letter_share FROM documents")
@@ -55,7 +58,7 @@ def duplicate_flags(spark, sf_dir):
 
 @query()
 def near_dup_minhash(spark, sf_dir):
-    return D.minhash_pairs(D.first_wins(docs(spark, sf_dir).select("doc_id", "text"), [D.dedup_key("text")], ["doc_id"]), "doc_id", "text")
+    return D.near_duplicate_classes(docs(spark, sf_dir), "doc_id", "text")
 
 
 # Lines
@@ -169,31 +172,31 @@ def target_sentence_filter(spark, sf_dir):
     return _sentences(spark, sf_dir).where(LX.hits("sentence", TOPICS)).select("doc_id", "sent_pos", F.length("sentence").cast("long").alias("n"))
 
 
-_B = "(^|[^A-Za-z0-9_])({})(e?s)?([^A-Za-z0-9_]|$)"
+_B = r"(^|[^\p{{L}}\p{{N}}_])({})(e?s)?([^\p{{L}}\p{{N}}_]|$)"
 
 
-@query(f"WITH {_SENT} SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(sentence, '(?i){_B.format('of[ \\t-\\r]+the|this|from')}')) AS topic, count(*) FILTER (regexp_matches(sentence, '(?i){_B.format('of[ \\t-\\r]+the|this|from')}') AND regexp_matches(sentence, '(?i){_B.format('is|was|by')}')) AS signal FROM st WHERE lang = 'en' GROUP BY lang")
+@query(f"WITH {_SENT} SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(sentence, '(?i){_B.format('of[ \\t-\\r]+the|this|from')}')) AS topic, count(*) FILTER (regexp_matches(sentence, '(?i){_B.format('of[ \\t-\\r]+the|this|from')}') AND regexp_matches(sentence, '(?i){_B.format('is|was|by')}')) AS signal FROM st GROUP BY lang")
 def signal_filter(spark, sf_dir):
-    rows = _sentences(spark, sf_dir).where("lang = 'en'")
+    rows = _sentences(spark, sf_dir)
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(LX.hits("sentence", TOPICS, "inflected")).alias("topic"), F.count_if(LX.signal("sentence", TOPICS, DIRECTIONS)).alias("signal"))
 
 
-_PL = "(^|[^A-Za-z0-9_])({})([^A-Za-z0-9_]|$)"
+_PL = r"(^|[^\p{{L}}\p{{N}}_])({})([^\p{{L}}\p{{N}}_]|$)"
 
 
-@query(f"WITH {_SENT} SELECT count(*) FILTER ({_TOPIC}) AS word, count(*) FILTER (regexp_matches(sentence, '(?i){_PL.format('ofs?[ \\t-\\r]+thes?|thiss?|froms?')}')) AS plural, count(*) FILTER (regexp_matches(sentence, '(?i){_B.format('of[ \\t-\\r]+the|this|from')}')) AS inflected, count(*) FILTER (regexp_matches(sentence, '(?i)(this|from|of the)')) AS substring FROM st WHERE lang = 'en'")
+@query(f"WITH {_SENT} SELECT count(*) FILTER ({_TOPIC}) AS word, count(*) FILTER (regexp_matches(sentence, '(?i){_PL.format('ofs?[ \\t-\\r]+thes?|thiss?|froms?')}')) AS plural, count(*) FILTER (regexp_matches(sentence, '(?i){_B.format('of[ \\t-\\r]+the|this|from')}')) AS inflected, count(*) FILTER (regexp_matches(sentence, '(?i)(this|from|of the)')) AS substring FROM st")
 def lexicon_dialects(spark, sf_dir):
-    rows = _sentences(spark, sf_dir).where("lang = 'en'")
+    rows = _sentences(spark, sf_dir)
     return rows.agg(*(F.count_if(LX.hits("sentence", TOPICS, d)).alias(d) for d in LX.DIALECTS))
 
 
-@query(f"""WITH {_SENT}, c AS (SELECT doc_id, sent_pos, sentence, list_filter(list_transform(string_split(regexp_replace(sentence, '(?i)[ \\t-\\r]*;[ \\t-\\r]*|[ \\t-\\r]*,?[ \\t-\\r]*\\b(that|and)\\b[ \\t-\\r]*', '␟', 'g'), '␟'), lambda x: regexp_replace(x, '^[ ,]+|[ ,]+$', '', 'g')), lambda x: x <> '') AS p FROM st WHERE lang = 'en'),
+@query(f"""WITH {_SENT}, c AS (SELECT doc_id, sent_pos, sentence, list_filter(list_transform(string_split(regexp_replace(sentence, '(?i)[ \\t-\\r]*;[ \\t-\\r]*|[ \\t-\\r]*,?[ \\t-\\r]*\\b(that|and)\\b[ \\t-\\r]*', '␟', 'g'), '␟'), lambda x: regexp_replace(x, '^[ ,]+|[ ,]+$', '', 'g')), lambda x: x <> '') AS p FROM st),
 s AS (SELECT doc_id, sent_pos, CASE WHEN len(p) > 1 AND len(list_filter(p, lambda x: NOT regexp_matches(x, '(?i){_A.format('of[ \\t-\\r]+the|this|from|is|was|by|for')}'))) = 0 THEN p ELSE [sentence] END AS segs FROM c)
 SELECT doc_id, sent_pos::INTEGER AS sent_pos, unnest(range(0, len(segs)))::INTEGER AS seg_pos, md5(unnest(segs)) AS h, len(segs) > 1 AS was_split FROM s""")
 def connective_split(spark, sf_dir):
     valid = LX.pattern(TOPICS + DIRECTIONS + NEGATIONS)
     segs = S.split_on_connectives(F.col("sentence"), CUTS, valid)
-    rows = _sentences(spark, sf_dir).where("lang = 'en'").select("doc_id", "sent_pos", segs.alias("segs"))
+    rows = _sentences(spark, sf_dir).select("doc_id", "sent_pos", segs.alias("segs"))
     return rows.select("doc_id", "sent_pos", (F.size("segs") > 1).alias("was_split"), F.posexplode("segs").alias("seg_pos", "s")).select("doc_id", "sent_pos", "seg_pos", F.md5(F.col("s").cast("binary")).alias("h"), "was_split")
 
 
@@ -211,9 +214,9 @@ def fragment_merge(spark, sf_dir):
 
 
 # Folds
-@query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '([a-zA-Z0-9_])-[ \\t]*\\n[ \\t]*(and|or|to|the)\\b', '\\1- \\2', 'g'), '([a-zA-Z0-9_])-[ \\t]*\\n[ \\t]*([\\p{Lu}0-9])', '\\1-\\2', 'g'), '([a-zA-Z0-9_])-[ \\t]*\\n[ \\t]*([a-zA-Z0-9_])', '\\1\\2', 'g')) AS h FROM (SELECT doc_id, regexp_replace(text, '([a-z]{3}) ([a-zA-Z])', '\\1-\n\\2', 'g') AS t FROM documents WHERE lang = 'en')")
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '([\\p{L}\\p{N}_])-[ \\t]*\\n[ \\t]*(and|or|to|the)([^\\p{L}\\p{N}_]|$)', '\\1- \\2\\3', 'g'), '([\\p{L}\\p{N}_])-[ \\t]*\\n[ \\t]*([\\p{Lu}\\p{Nd}])', '\\1-\\2', 'g'), '([\\p{L}\\p{N}_])-[ \\t]*\\n[ \\t]*([\\p{L}\\p{N}_])', '\\1\\2', 'g')) AS h FROM (SELECT doc_id, regexp_replace(text, '([a-z]{3}) ([a-zA-Z])', '\\1-\n\\2', 'g') AS t FROM documents)")
 def dehyphenate(spark, sf_dir):
-    wrapped = docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.regexp_replace("text", "([a-z]{3}) ([a-zA-Z])", "$1-\n$2").alias("t"))
+    wrapped = docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", "([a-z]{3}) ([a-zA-Z])", "$1-\n$2").alias("t"))
     return wrapped.select("doc_id", F.md5(TX.dehyphenate("t").cast("binary")).alias("h"))
 
 
@@ -238,10 +241,10 @@ def mlm_blocks(spark, sf_dir):
     return folds.packed_blocks(docs(spark, sf_dir), "doc_id", "text", room=126).select("doc_id", "block", F.size("input_ids").alias("n_ids"), F.aggregate("special_tokens_mask", F.lit(0), lambda a, x: a + x).alias("n_special"))
 
 
-@query("SELECT coalesce(source, 'ALL') AS source, count(*) AS docs, sum(len(regexp_extract_all(text, '[a-zA-Z0-9_]+|[^a-zA-Z0-9_\\s]')))::BIGINT AS tokens FROM documents WHERE lang = 'en' GROUP BY ROLLUP (source)")
+@query("SELECT coalesce(source, 'ALL') AS source, count(*) AS docs, sum(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_ \\t-\\r]')))::BIGINT AS tokens FROM documents GROUP BY ROLLUP (source)")
 def token_totals(spark, sf_dir):
-    n = F.size(F.regexp_extract_all("text", F.lit(r"[a-zA-Z0-9_]+|[^a-zA-Z0-9_\s]"), F.lit(0)))
-    rows = docs(spark, sf_dir).where("lang = 'en'").select("source", n.alias("n"))
+    n = F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t-\r]"), F.lit(0)))
+    rows = docs(spark, sf_dir).select("source", n.alias("n"))
     return rows.rollup("source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).select(F.coalesce("source", F.lit("ALL")).alias("source"), "docs", "tokens")
 
 

@@ -192,14 +192,14 @@ def label_normalise(spark, sf_dir):
     return annotations(spark, sf_dir).withColumn("label", from_letter("raw")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_RAW}, {_NORM}, c AS (SELECT doc_id, left(trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g')), 12) AS sentence, label FROM norm WHERE label IS NOT NULL AND length(text) >= 15), d AS (SELECT *, row_number() OVER (PARTITION BY sentence, label ORDER BY doc_id) AS rn FROM c),
+@query(f"""WITH {_RAW}, {_NORM}, c AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g')) AS sentence, label FROM norm WHERE label IS NOT NULL AND length(text) >= 15), d AS (SELECT *, row_number() OVER (PARTITION BY sentence, label ORDER BY doc_id) AS rn FROM c),
 k AS (SELECT *, min(label) OVER (PARTITION BY sentence) AS a, max(label) OVER (PARTITION BY sentence) AS b FROM d WHERE rn = 1), s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', doc_id)), doc_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM k WHERE a = b)
 SELECT doc_id, sentence, label, CASE WHEN r <= greatest(1, round_even(n * 0.15, 0)) THEN 'val' ELSE 'train' END AS split FROM s""")
 def label_pipeline(spark, sf_dir):
     from corpusloom.functions.labels import from_letter
 
     rows = annotations(spark, sf_dir).withColumn("label", from_letter("raw")).where("label is not null and length(text) >= 15")
-    rows = rows.select("doc_id", F.substring(J.text_key("text"), 1, 12).alias("sentence"), "label")
+    rows = rows.select("doc_id", J.text_key("text").alias("sentence"), "label")
     rows = D.drop_conflicts(D.first_wins(rows, ["sentence", "label"], ["doc_id"]), ["sentence"], "label")
     return X.stratified_split(rows, "label", "doc_id")
 
@@ -276,9 +276,12 @@ def alignment_check(spark, sf_dir):
     return both.agg(F.count("*").alias("items"), F.count_if(F.col("hit").isNull()).alias("beyond"), F.count_if(F.col("hit").isNotNull() & (F.col("cust") != F.col("now"))).alias("misaligned"))
 
 
-@query("SELECT source, count(*) AS items, sha256(string_agg(concat(doc_id, ':', md5(text)), ',' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+_ITEM = "concat(doc_id, ':', md5(text))"
+
+
+@query(f"SELECT source, count(*) AS items, sha256(CAST(sum(CAST(CAST(concat('0x', left(md5({_ITEM}), 15)) AS UBIGINT) AS HUGEINT)) AS VARCHAR)) AS fingerprint FROM documents GROUP BY source")
 def run_manifest(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
-    items = F.array_sort(F.collect_list(F.struct("doc_id", "h")))
-    joined = F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["doc_id"], x["h"])), ",")
-    return docs.groupBy("source").agg(F.count("*").alias("items"), F.sha2(joined, 256).alias("fingerprint"))
+    """A fingerprint of each source that no order changes: the hash of the sum of its items' hashes, summed before the shuffle."""
+    item = F.md5(F.concat_ws(":", "doc_id", F.md5(F.col("text").cast("binary"))).cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("source", F.conv(F.substring(item, 1, 15), 16, 10).cast("decimal(28,0)").alias("h"))
+    return docs.groupBy("source").agg(F.count("*").alias("items"), F.sha2(F.sum("h").cast("decimal(38,0)").cast("string"), 256).alias("fingerprint"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.plans.registry import query, table
+from corpusloom.plans.registry import query
 from corpusloom.streaming import ingest as Z
 
 
@@ -18,18 +18,19 @@ def stream_ingest(spark, sf_dir):
 @query("SELECT count(DISTINCT concat(user_id, '|', event_type)) AS distinct_keys FROM events")
 def stream_dedup(spark, sf_dir):
     at = Z.scratch(spark)
-    rows = Z.dedup_within(Z.stream_of(spark, sf_dir, "events.parquet"), "ts", "40 days", keys=["user_id", "event_type"])
-    Z.run_to_sink(rows, f"{at}/out", f"{at}/log")
+    stream = Z.stream_of(spark, sf_dir, "events.parquet")
+    stream.writeStream.foreachBatch(Z.append_new(f"{at}/out", ["user_id", "event_type"])).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out").agg(F.count("*").alias("distinct_keys"))
 
 
-@query("""SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS day, count(*) FILTER (event_type = 'purchase') AS n_up, count(*) FILTER (event_type = 'click') AS n_down, count(*) AS n, round((count(*) FILTER (event_type = 'purchase') - count(*) FILTER (event_type = 'click'))::DOUBLE / count(*), 9) AS stance FROM events GROUP BY 1""".replace("CAST(date_trunc('day', ts) AS VARCHAR)", "strftime(ts, '%Y-%m-%d')"))
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'purchase') AS n_up, count(*) FILTER (event_type = 'click') AS n_down, count(*) AS n, round((count(*) FILTER (event_type = 'purchase') - count(*) FILTER (event_type = 'click'))::DOUBLE / count(*), 9) AS stance FROM events GROUP BY 1""")
 def stream_stance(spark, sf_dir):
     at = Z.scratch(spark)
-    index = Z.windowed_index(Z.stream_of(spark, sf_dir, "events.parquet"), "ts", "event_type", "purchase", "click", "1 day", "2 days")
-    query = index.writeStream.format("memory").queryName(f"s{at[-32:]}").outputMode("complete").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(f"s{at[-32:]}").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n_up", "n_down", "n", F.round("stance", 9).alias("stance"))
+    index = Z.windowed_index(Z.stream_of(spark, sf_dir, "events.parquet"), "ts", "event_type", "purchase", "click", "1 day", "60 days")
+    # a window is told again when it grows: the version with the most rows is the last
+    index.writeStream.outputMode("update").foreachBatch(Z.upsert(f"{at}/out", ["start"], "n")).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    rows = Z.read_upserted(spark, f"{at}/out", ["start"], "n")
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n_up", "n_down", "n", F.round("stance", 9).alias("stance"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -42,5 +43,7 @@ def stream_upsert(spark, sf_dir):
 
 @query("SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events)) GROUP BY ALL) GROUP BY user_id")
 def stream_sessions(spark, sf_dir):
-    rows = Z.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "30 minutes", "1 day")
-    return rows.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
+    at = Z.scratch(spark)
+    rows = Z.sessions(Z.stream_of(spark, sf_dir, "events.parquet"), "ts", "user_id", "30 minutes", "1 day")
+    rows.writeStream.outputMode("complete").foreachBatch(Z.replace(f"{at}/out")).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))

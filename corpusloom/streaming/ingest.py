@@ -18,6 +18,8 @@ def scratch(spark: SparkSession) -> str:
     """A new folder for checkpoints and results, in the shared folder of the session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="corpusloom-stream-")
@@ -90,3 +92,12 @@ def append_new(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def replace(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for complete results: each batch takes the place of the one before."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return write
