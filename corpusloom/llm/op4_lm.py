@@ -6,10 +6,11 @@ labelled documents, the background model those of all documents. A document's sc
 background model less that under the target model, for each token: the higher, the more it is like the target.
 
 Plan: (1) documents are packed into chunks of bounded size, which are written; (2) each chunk and each task over a
-corpus counts its own n-grams, words, bigrams and whole texts alike, by 62-bit ids, and deals the sorted ids out by
-slices of the id space, of which there are as many as the input needs; (3) a slice adds up what all have counted and
-answers each chunk in the order of its ids; (4) a chunk scores its documents with the counts of its own n-grams only.
-So the tables grow with the corpus, are never whole in one place, and a common word is asked for once a chunk.
+corpus counts its own n-grams, words, bigrams and whole texts alike, by ids, and deals the sorted ids out by slices of
+the id space, of which there are as many as the input needs; (3) a slice adds up what all have counted and answers each
+chunk in the order of its ids; (4) a chunk scores its documents with the counts of its own n-grams only. So the tables
+grow with the corpus, are never whole in one place, and a common word is asked for once a chunk. Ids are hashes that are
+SPARE bits wider than the corpus needs (62 bits at most), so about one n-gram in 2^SPARE shares its counts with another.
 """
 
 from __future__ import annotations
@@ -28,14 +29,27 @@ from corpusloom.llm.common import _PLACES, NOT_SPACE, U, content_id, materialise
 #: Weight of the bigram estimate in a model, and the count added to each word of the unigram one.
 BIGRAM, ADDED = 0.6, 0.05
 #: Bytes of text in a chunk, and bytes of all texts for each slice of the ids; there are at least LEAST_SLICES.
-CHUNK, SLICE, LEAST_SLICES = 16 << 20, 8 << 20, 32
+CHUNK, SLICE, LEAST_SLICES = 16 << 20, 32 << 20, 32
+#: Bits of an id beyond those that number the tokens of the documents.
+SPARE = 26
+#: Ids of good documents that may be broadcast (8 bytes each); with more, documents are dealt out by id.
+MOST_BROADCAST = 2_000_000
 _PIECE = 2 << 20
 #: The last two bits of an id say what it is of; the others are of a hash.
 PAIR, WORD, TEXT = U(0), U(1), U(2)
 _KIND = U(3)
 
 
-def token_ids(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def id_bits(size: int) -> int:
+    """The width of ids for a corpus of so many bytes."""
+    return min(62, (size // 4).bit_length() + SPARE) + 2
+
+
+def _id(hashes: np.ndarray, kind: np.uint64, bits: int) -> np.ndarray:
+    return hashes >> U(64 - bits) & ~_KIND | kind
+
+
+def token_ids(buf: np.ndarray, offs: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For groups of texts: the word id of each token, the id of its bigram with the one before it (none at the first of all),
     and the first token of each text (one number more than texts)."""
     for i, j in pieces(offs, _PIECE):
@@ -44,17 +58,17 @@ def token_ids(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, n
         words = word_hashes(part, starts, ends)
         pairs = np.zeros(len(words), np.uint64)
         pairs[1:] = mix(words[:-1] * _PLACES[0] + words[1:] * _PLACES[1] + U(2))
-        yield words & ~_KIND | WORD, pairs & ~_KIND | PAIR, first
+        yield _id(words, WORD, bits), _id(pairs, PAIR, bits), first
 
 
-def _text_ids(tids: np.ndarray) -> np.ndarray:
-    return mix(tids.view(np.uint64)) & ~_KIND | TEXT
+def _text_ids(tids: np.ndarray, bits: int) -> np.ndarray:
+    return _id(mix(tids.view(np.uint64)), TEXT, bits)
 
 
-def _counted(buf: np.ndarray, offs: np.ndarray, tids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted(buf: np.ndarray, offs: np.ndarray, tids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted ids of the words, bigrams and texts of some texts, and how often each occurs."""
-    found = [_text_ids(tids)]
-    for words, pairs, first in token_ids(buf, offs):
+    found = [_text_ids(tids, bits)]
+    for words, pairs, first in token_ids(buf, offs, bits):
         follows = np.ones(len(words), bool)
         follows[first[:-1][first[:-1] < len(words)]] = False
         found += [words, pairs[follows]]
@@ -71,10 +85,9 @@ def _unpack(z: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(-1)
 
 
-def _dealt(ids: np.ndarray, counts: np.ndarray, slices: int) -> Iterator[tuple[int, bytes, bytes]]:
+def _dealt(ids: np.ndarray, counts: np.ndarray, slices: int, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(slice, ids, counts) of sorted ids; slices is a power of two."""
-    bits = slices.bit_length() - 1
-    cuts = np.searchsorted(ids, np.arange(1, slices, dtype=np.uint64) << U(64 - bits)) if bits else []
+    cuts = np.searchsorted(ids, np.arange(1, slices, dtype=np.uint64) << U(bits - slices.bit_length() + 1))
     for k, (i, n) in enumerate(zip(np.split(ids, cuts), np.split(counts, cuts), strict=True)):
         if len(i):
             yield k, _pack(np.diff(i, prepend=U(0)).view(np.int64)), _pack(n)
@@ -131,25 +144,25 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 ASKS_COUNTED, ASKS, BACK, AIM = range(4)
 
 
-def _asked(chunks: DataFrame, slices: int, kind: int) -> DataFrame:
+def _asked(chunks: DataFrame, slices: int, bits: int, kind: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, chunk in enumerate(b.column(0).to_pylist()):
-                rows = [(s, chunk, kind, i, n) for s, i, n in _dealt(*_counted(*_opened(b, k, 1)), slices)]
+                rows = [(s, chunk, kind, i, n) for s, i, n in _dealt(*_counted(*_opened(b, k, 1), bits), slices, bits)]
                 if rows:
                     yield _batch(rows, ["slice", "chunk", "kind", "ids", "n"])
 
     return chunks.select("chunk", "tid", "offs", "z").mapInArrow(run, _COUNTS)
 
 
-def _counts(docs: DataFrame, text: str, slices: int, kind: int) -> DataFrame:
+def _counts(docs: DataFrame, text: str, slices: int, bits: int, kind: int) -> DataFrame:
     """Counts of a corpus, added up over about a chunk in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(parts: list, sizes: list, tids: list) -> pa.RecordBatch:
             offs = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
-            counted = _counted(np.concatenate(parts), offs, np.concatenate(tids))
-            return _batch([(s, -1, kind, i, n) for s, i, n in _dealt(*counted, slices)], ["slice", "chunk", "kind", "ids", "n"])
+            counted = _counted(np.concatenate(parts), offs, np.concatenate(tids), bits)
+            return _batch([(s, -1, kind, i, n) for s, i, n in _dealt(*counted, slices, bits)], ["slice", "chunk", "kind", "ids", "n"])
 
         parts, sizes, tids, held = [], [], [], 0
         for b in batches:
@@ -210,24 +223,26 @@ def _own(x: np.ndarray) -> np.ndarray:
     return n[at].astype(np.float64)
 
 
-def _loss(words: np.ndarray, pairs: np.ndarray, words_out: np.ndarray | None, pairs_out: np.ndarray | None, total: float) -> float:
-    """Mean loss in nats of a text whose words and bigrams have these counts in a model, its own ones taken out where given."""
-    if words_out is not None:
-        words, pairs, total = words - words_out, pairs - pairs_out, total - len(words)
-    single = (words + ADDED) / total
-    loss = -np.log(single[0])
-    if len(words) > 1:
-        before = words[:-1]
-        share = np.where(before > 0, BIGRAM, 0)
-        loss -= np.log(share * pairs / np.maximum(before, 1) + (1 - share) * single[1:]).sum()
-    return float(loss / len(words))
+def _losses(words: np.ndarray, pairs: np.ndarray, first: np.ndarray, own: tuple[np.ndarray, np.ndarray], held: np.ndarray, total: float) -> np.ndarray:
+    """Mean loss in nats of each text with tokens. words and pairs: counts in a model at each token; own: those in the text
+    itself, which are taken out where the model has counted the text (held)."""
+    size = np.diff(first)
+    out = np.repeat(held, size)
+    words, pairs = words - out * own[0], pairs - out * own[1]
+    single = (words + ADDED) / (total - np.repeat(held * size, size))
+    before = np.concatenate(([0.0], words[:-1]))
+    share = np.where(before > 0, BIGRAM, 0)
+    share[first[:-1][size > 0]] = 0
+    chance = share * pairs / np.maximum(before, 1) + (1 - share) * single
+    return -np.add.reduceat(np.log(chance), first[:-1][size > 0]) / size[size > 0] if size.any() else np.zeros(0)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that a label calls good: of quality 1 and not toxic. Labels grow with the documents, so both sides are
-    dealt out by doc_id whatever their size."""
-    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct().hint("merge")
-    return docs.join(good, docs["doc_id"].cast("long") == good["good_id"], "left_semi")
+    """The documents that a label calls good: of quality 1 and not toxic. Labels grow with the documents, so their ids are
+    broadcast only up to MOST_BROADCAST; with more, both sides are dealt out by doc_id."""
+    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
+    few = good.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(good) if few else good.hint("merge"), docs["doc_id"].cast("long") == good["good_id"], "left_semi")
 
 
 def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -237,14 +252,15 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
     blank texts) all three are null. Tokens are runs of other bytes than ASCII white space, A-Z lower-cased. background
     is docs unless given. A text is scored without its own counts in a model whose corpus holds that text (its own row
     or a copy), so that what was trained on is judged like the rest. Repeated rows each count; an empty target gives the
-    uniform model; other columns are ignored.
+    uniform model. A very long text is a chunk of its own and scored whole. Other columns are ignored, whatever their names;
+    an empty table gives an empty result.
     """
     size = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
-    slices = max(LEAST_SLICES, 1 << (-(-size // SLICE) - 1).bit_length())
+    slices, bits = max(LEAST_SLICES, 1 << (-(-size // SLICE) - 1).bit_length()), id_bits(size)
     chunks = _chunks(docs, text, "lm-chunks")
-    counts = _asked(chunks, slices, ASKS_COUNTED if background is None else ASKS).unionAll(_counts(target, text, slices, AIM))
+    counts = _asked(chunks, slices, bits, ASKS_COUNTED if background is None else ASKS).unionAll(_counts(target, text, slices, bits, AIM))
     if background is not None:
-        counts = counts.unionAll(_counts(background, text, slices, BACK))
+        counts = counts.unionAll(_counts(background, text, slices, bits, BACK))
     answers = _answers(counts)
     sums = np.zeros(3, np.int64)
     for r in answers.where("chunk = -1").select("aim").collect():  # one row a slice
@@ -253,23 +269,27 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
 
     def rated(doc_ids: list, opened: tuple, aim: np.ndarray, back: np.ndarray) -> pa.RecordBatch:
         buf, offs, tids = opened
-        every, _ = _counted(buf, offs, tids)
+        every, _ = _counted(buf, offs, tids, bits)
         models = [aim, back]
-        held = [m[np.searchsorted(every, _text_ids(tids))] > 0 for m in models]
-        counts, means, row = [], [[], []], 0
-        for words, pairs, first in token_ids(buf, offs):
+        held = [m[np.searchsorted(every, _text_ids(tids, bits))] > 0 for m in models]
+        sizes, means, row = [], [[], []], 0
+        for words, pairs, first in token_ids(buf, offs, bits):
+            size = np.diff(first)
+            number = mix(np.repeat(np.arange(len(size), dtype=np.uint64), size))
+            # no bigram ends at the first word of a text: it gets an id that is of nothing
+            pairs[first[:-1][size > 0]] = _KIND
+            own = _own(words ^ number), _own(pairs ^ number)
             at = np.searchsorted(every, words)
-            # a bigram over the edge of two texts is not counted and not asked for either
             at_pair = np.minimum(np.searchsorted(every, pairs), len(every) - 1)
-            of_words, of_pairs = [m[at].astype(np.float64) for m in models], [m[at_pair].astype(np.float64) for m in models]
-            for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                counts.append(hi - lo)
-                out = (_own(words[lo:hi]), _own(pairs[lo + 1 : hi])) if hi > lo and (held[0][row] or held[1][row]) else (None, None)
-                for k in range(2):
-                    means[k].append(_loss(of_words[k][lo:hi], of_pairs[k][lo + 1 : hi], *(out if held[k][row] else (None, None)), totals[k]) if hi > lo else None)
-                row += 1
-        diff = [None if x is None else y - x for x, y in zip(*means, strict=True)]
-        return pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), *(pa.array(x, pa.float64()) for x in (*means, diff))], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+            sizes.append(size)
+            for k, m in enumerate(models):
+                loss = np.full(len(size), np.nan)
+                loss[size > 0] = _losses(m[at].astype(np.float64), m[at_pair].astype(np.float64), first, own, held[k][row : row + len(size)], totals[k])
+                means[k].append(loss)
+            row += len(size)
+        n = np.concatenate(sizes)
+        aimed, behind = (np.concatenate(x) for x in means)
+        return pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, mask=n == 0) for x in (aimed, behind, behind - aimed))], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aims, backs = [], []
