@@ -45,7 +45,7 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(read(spark, sf_dir, "documents")).drop("text_id", "group_id")
+    return near_duplicate_groups(read(spark, sf_dir, "documents"), links=True).drop("text_id", "group_id")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +98,8 @@ _OP7 = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_
 s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM b JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * i >= 75 * (p.n + q.n - i)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-c AS (SELECT a AS x, b AS y FROM e UNION SELECT c.x, e.b FROM c JOIN e ON c.y = e.a), m AS (SELECT x, min(y) AS y FROM c GROUP BY x)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(d.doc_id, m.y), d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id"""
+c AS (SELECT a AS x, b AS y FROM e UNION SELECT c.x, e.b FROM c JOIN e ON c.y = e.a), m AS (SELECT x, min(y) AS y FROM c GROUP BY x), k AS (SELECT a, count(*) AS k FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(d.doc_id, m.y), d.doc_id) AS component_id, coalesce(k.k, 0) AS n_links FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id LEFT JOIN k ON k.a = d.doc_id"""
 
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

@@ -1,10 +1,11 @@
-"""All links of the similarity join, against brute force over a family of near copies."""
+"""All links of the similarity join, against brute force over families of near copies, small and large."""
 
 import random
-from collections import Counter
+
+import pytest
 
 from corpusloom.llm import op7_jaccard
-from corpusloom.llm.op7_jaccard import near_duplicate_groups, near_duplicate_links
+from corpusloom.llm.op7_jaccard import near_duplicate_groups
 
 
 def shingles(text):
@@ -12,29 +13,35 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_every_link(spark, monkeypatch):
+def family(rng, size, count, changes):
+    base = [f"w{rng.randrange(500)}" for _ in range(size)]
+    out = []
+    for i in range(count):
+        w = list(base)
+        for _ in range(i % changes):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [f"x{rng.randrange(10**6)}"]
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("hot", [0.004, 0.0])
+def test_every_link(spark, monkeypatch, hot):
     monkeypatch.setattr(op7_jaccard, "BLOCK", 8)
+    monkeypatch.setattr(op7_jaccard, "HOT_SHARE", hot)  # at 0, all signatures of the sample are dealt by text
     rng = random.Random(8)
-    base = [f"w{rng.randrange(500)}" for _ in range(300)]
-    texts = []
-    for i in range(30):
-        w = list(base)
-        for _ in range(i % 10):
-            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
-        texts.append(" ".join(w))
-    texts += [" ".join(f"y{rng.randrange(10**5)}" for _ in range(50)) for _ in range(5)] + [texts[3], texts[4], None, "", "one two", "ONE two"]
-    rows = list(enumerate(texts))
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = family(rng, 300, 30, 10)
+    for size in range(5, 24):
+        texts += family(rng, size, 8, 3)
+    texts += family(rng, 40, 12, 4) + family(rng, 2500, 6, 40)
+    texts += [" ".join(f"y{rng.randrange(10**5)}" for _ in range(50)) for _ in range(5)] + [texts[3], texts[4], None, "", "one two", "ONE two", " ".join(["z"] * 4000)]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, tid int, sig string").repartition(3)
     sets = [shingles(t) for t in texts]
-    linked = lambda x, y: 100 * len(x & y) >= 75 * len(x | y) and bool(x & y)
-    want = {i: sum(linked(x, y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)}
-    links, membership = near_duplicate_links(frame)
-    got = membership.collect()
-    assert {r.doc_id: r.n_links for r in got} == want and len(got) == len(texts)
-    names = {r.doc_id: r.text_id for r in got}
-    pairs = {tuple(sorted((names[i], names[j]))) for i in range(len(texts)) for j in range(i) if texts[i] != texts[j] and linked(sets[i], sets[j])}
-    assert Counter((r.a, r.b) for r in links.collect()) == Counter(pairs) and len(pairs) > 100
-    least = {r.doc_id: r.doc_id for r in got}
-    for _ in texts:
-        least = {i: min(least[j] for j in least if i == j or linked(sets[i], sets[j])) for i in least}
-    assert {r.doc_id: r.component_id for r in near_duplicate_groups(frame).collect()} == least
+    near = [[j for j, y in enumerate(sets) if j != i and x & y and 100 * len(x & y) >= 75 * len(x | y)] for i, x in enumerate(sets)]
+    assert sum(map(len, near)) > 500
+    least = list(range(len(texts)))
+    while (new := [min([least[i], *(least[j] for j in js)]) for i, js in enumerate(near)]) != least:
+        least = new
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in near_duplicate_groups(frame, links=True).collect()}
+    assert got == {i: (len(x), least[i], len(near[i])) for i, x in enumerate(sets)}
+    assert near_duplicate_groups(frame.limit(0), links=True).count() == 0
