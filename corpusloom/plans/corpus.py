@@ -264,7 +264,8 @@ def scrub_text(spark, sf_dir):
 @query("SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)\\blicensed\\b')) AS licensed, count(*) FILTER (regexp_matches(text, '(?i)\\bcopyright\\b')) AS copyrighted, count(*) FILTER (contains(text, '@')) AS mail FROM documents GROUP BY source")
 def source_routing(spark, sf_dir):
     t = F.col("text")
-    return docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.count_if(t.rlike(r"(?i)\blicensed\b")).alias("licensed"), F.count_if(t.rlike(r"(?i)\bcopyright\b")).alias("copyrighted"), F.count_if(t.contains("@")).alias("mail"))
+    word = lambda w: t.rlike(rf"(?i)(?<![0-9A-Za-z_]){w}(?![0-9A-Za-z_])")
+    return docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.count_if(word("licensed")).alias("licensed"), F.count_if(word("copyright")).alias("copyrighted"), F.count_if(t.contains("@")).alias("mail"))
 
 
 # Conversations
