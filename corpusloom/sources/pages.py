@@ -130,9 +130,11 @@ def year_in_href(c: str | Column) -> Column:
 
 
 def letter_suffix(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """The second row of a key gets -b, the third -c, and so on; the first its key."""
+    """The second row of a key gets -b, the third -c, and so on by code points past z; the first its key."""
     n = F.row_number().over(W.partitionBy(key).orderBy(order))
-    return df.withColumn(name, F.when(n == 1, F.col(key).cast("string")).otherwise(F.concat(F.col(key).cast("string"), F.lit("-"), F.char((96 + n).cast("int")))))
+    # F.char is of the code modulo 256
+    letter = F.decode(F.unhex(F.lpad(F.hex(96 + n), 8, "0")), "UTF-32")
+    return df.withColumn(name, F.when(n == 1, F.col(key).cast("string")).otherwise(F.concat(F.col(key).cast("string"), F.lit("-"), letter)))
 
 
 def topics(html: str | Column) -> Column:
