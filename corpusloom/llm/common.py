@@ -7,8 +7,6 @@ content, so a task that is run again after an executor is lost gives the same ro
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.scratch import materialise, scratch_root  # noqa: F401
+
 U = np.uint64
 _MIX_A, _MIX_B = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _BASE = U(0x9E3779B97F4A7C15)
@@ -32,25 +32,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where spark.checkpoint.dir is unset and all runs on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and lost executors cost no rework."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Deletes a scratch table that is no longer read."""
     spark = df.sparkSession
