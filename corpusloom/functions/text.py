@@ -17,6 +17,7 @@ VULGAR = {"½": "1/2", "⅓": "1/3", "⅔": "2/3", "¼": "1/4", "¾": "3/4", "
 MOJIBAKE = {"â€™": "'", "â€œ": '"', "â€\u009d": '"', "â€“": "-", "â€”": "-", "Â ": " ", "Ã©": "é", "Ã¨": "è", "Ã¼": "ü", "Ã¶": "ö", "Ã¤": "ä"}
 BULLETS = "•▪●■◦‣∙·"
 SUPERSCRIPT_FROM, SUPERSCRIPT_TO = "⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉", "01234567890123456789"
+_CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -35,10 +36,21 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+_NOT_ASCII = r"[^\x00-\x7F]"
+
+
 def nfkc(c: str | Column) -> Column:
-    """Compatibility normal form; texts of ASCII only are as they are."""
+    """Compatibility normal form; texts of ASCII only are as they are and do not leave the JVM."""
+    c = _col(c)
+    return F.coalesce(_nfkc(F.when(c.rlike(_NOT_ASCII), c)), c)
+
+
+def repair_characters(c: str | Column) -> Column:
+    """Mojibake, line ends, ligatures, fractions and invisible characters, in this order; texts of ASCII only skip what they
+    cannot hold."""
     c = _col(c)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
+    full = strip_invisible(expand_fractions(expand_ligatures(unify_newlines(repair_mojibake(c)))))
+    return F.when(c.rlike(_NOT_ASCII), full).otherwise(F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), _CONTROLS, " "))
 
 
 def repair_mojibake(c: str | Column) -> Column:
@@ -47,7 +59,10 @@ def repair_mojibake(c: str | Column) -> Column:
 
 def fold_characters(c: str | Column) -> Column:
     """Quotes, dashes and odd spaces to ASCII."""
-    return F.translate(_col(c), FOLD_FROM, FOLD_TO)
+    c = _col(c)
+    for new in dict.fromkeys(FOLD_TO):
+        c = F.regexp_replace(c, "[" + "".join(a for a, b in zip(FOLD_FROM, FOLD_TO, strict=True) if b == new) + "]", new)
+    return c
 
 
 def expand_ligatures(c: str | Column) -> Column:
@@ -70,9 +85,9 @@ def expand_fractions(c: str | Column) -> Column:
 def strip_invisible(c: str | Column) -> Column:
     """Soft hyphens joined over line ends, bullets to spaces, zero-width and control characters out."""
     c = F.regexp_replace(_col(c), "\u00ad\\s*\n?\\s*", "")
-    c = F.translate(c, BULLETS, " " * len(BULLETS))
+    c = F.regexp_replace(c, f"[{BULLETS}]", " ")
     c = F.regexp_replace(c, "[\u200b-\u200f\u2060\ufeff]", "")
-    return F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
+    return F.regexp_replace(c, _CONTROLS, " ")
 
 
 def unify_newlines(c: str | Column) -> Column:
@@ -161,15 +176,20 @@ def words(c: str | Column) -> Column:
     return F.filter(F.split(_col(c), BLANKS), lambda w: w != "")
 
 
+def n_words(c: str | Column) -> Column:
+    """How many words, without an array of them."""
+    return F.regexp_count(_col(c), F.lit(r"[^\x20\x09-\x0D]+"))
+
+
 def letter_share(c: str | Column, letters: str = r"\p{L}") -> Column:
     """Letters by characters; 0 for an empty text."""
     c = _col(c)
-    return F.length(F.regexp_replace(c, f"[^{letters}]", "")) / F.greatest(F.length(c), F.lit(1))
+    return F.length(F.regexp_replace(c, f"[^{letters}]+", "")) / F.greatest(F.length(c), F.lit(1))
 
 
 def digit_share(c: str | Column) -> Column:
     c = _col(c)
-    return F.length(F.regexp_replace(c, "[^0-9]", "")) / F.greatest(F.length(c), F.lit(1))
+    return F.length(F.regexp_replace(c, "[^0-9]+", "")) / F.greatest(F.length(c), F.lit(1))
 
 
 def quality_ok(c: str | Column, min_chars: int = 200, min_share: float = 0.60, letters: str = r"\p{L}") -> Column:

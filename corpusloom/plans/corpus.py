@@ -250,9 +250,11 @@ def token_totals(spark, sf_dir):
 
 @query()
 def unicode_repair(spark, sf_dir):
-    t = TX.nfkc(TX.strip_invisible(TX.expand_fractions(TX.expand_ligatures(TX.unify_newlines(TX.repair_mojibake("text"))))))
-    out = TX.tidy_punctuation(TX.tidy_blocks(TX.fold_characters(t)))
-    return docs(spark, sf_dir).select("doc_id", F.length(out).alias("chars_out"), F.round(100.0 * F.length(out) / F.greatest(F.length("text"), F.lit(1)), 4).alias("pct_kept"))
+    # a column for each stage: one expression of all would be evaluated again at each place where nfkc and the measures name it
+    rows = docs(spark, sf_dir).select("doc_id", F.length("text").alias("n"), TX.repair_characters("text").alias("t"))
+    rows = rows.select("doc_id", "n", TX.nfkc("t").alias("t"))
+    rows = rows.select("doc_id", "n", F.length(TX.tidy_punctuation(TX.tidy_blocks(TX.fold_characters("t")))).alias("chars_out"))
+    return rows.select("doc_id", "chars_out", F.round(100.0 * F.col("chars_out") / F.greatest("n", F.lit(1)), 4).alias("pct_kept"))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+', '', 'g'), '[ \\t]+([,.;:!?%])', '\\1', 'g'), '[ \\t-\\r]+', ' ', 'g'))) AS h FROM documents")
