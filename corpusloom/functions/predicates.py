@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import digit_share, letter_share, words
+from corpusloom.functions.text import digit_share, letter_share, n_words, words
 
 END_MARK = r"""[.!?]["'”’)\]]*\z"""
 
@@ -22,13 +22,13 @@ def ends_sentence(c: str | Column) -> Column:
 
 def keep_sentence(c: str | Column, min_words: int = 6, min_share: float = 0.5, courtesy: str = r"(?i)^(thank you|good (morning|afternoon|evening)|figure|chart|table|source)\b") -> Column:
     """Enough words, letters, and no courtesy or caption."""
-    return (F.size(words(c)) >= min_words) & (letter_share(c) >= min_share) & ~_col(c).rlike(courtesy)
+    return (n_words(c) >= min_words) & (letter_share(c) >= min_share) & ~_col(c).rlike(courtesy)
 
 
 def is_junk_line(c: str | Column) -> Column:
     """Numbers only, period ticks, short acronyms, under 3 letters, or ASCII with under 15 percent letters."""
     t = F.trim(_col(c))
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
     shapes = [r"^[\d\s.,%()+\-/$€£:]+\z", r"(?i)^(q[1-4]|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[.\s]*(\d{2,4})?\z", r"^[A-Z][A-Z0-9&.\-]{0,7}\z"]
     return reduce(lambda a, b: a | b, (t.rlike(s) for s in shapes)) | (letters < 3) | (~t.rlike(r"[^\x00-\x7F]") & (letters / F.greatest(F.length(t), F.lit(1)) < 0.15))
 
@@ -36,7 +36,7 @@ def is_junk_line(c: str | Column) -> Column:
 def is_numeric_line(c: str | Column) -> Column:
     """A table row: many digits, or a few short tokens with one."""
     t = F.trim(_col(c))
-    return (digit_share(t) > 0.45) | ((F.size(words(t)) <= 4) & (F.length(t) < 40) & t.rlike(r"\d"))
+    return (digit_share(t) > 0.45) | ((n_words(t) <= 4) & (F.length(t) < 40) & t.rlike(r"\d"))
 
 
 def is_letter_spaced(c: str | Column) -> Column:
@@ -47,18 +47,18 @@ def is_letter_spaced(c: str | Column) -> Column:
 
 def is_caps_heading(c: str | Column) -> Column:
     t = F.trim(_col(c))
-    letters, upper = F.length(F.regexp_replace(t, r"[^\p{L}]", "")), F.length(F.regexp_replace(t, r"[^\p{Lu}]", ""))
-    return F.size(words(t)).between(2, 10) & (letters > 0) & (upper >= 0.9 * letters)
+    letters, upper = F.length(F.regexp_replace(t, r"[^\p{L}]+", "")), F.length(F.regexp_replace(t, r"[^\p{Lu}]+", ""))
+    return n_words(t).between(2, 10) & (letters > 0) & (upper >= 0.9 * letters)
 
 
 def looks_prose(c: str | Column, min_words: int = 6) -> Column:
     t = F.trim(_col(c))
-    return (F.size(words(t)) >= min_words) & t.rlike(r"""^["'“‘(]?[\p{Lu}]""") & ends_sentence(t)
+    return (n_words(t) >= min_words) & t.rlike(r"""^["'“‘(]?[\p{Lu}]""") & ends_sentence(t)
 
 
 def is_heading(c: str | Column, most: int = 8) -> Column:
     t = F.trim(_col(c))
-    return (F.size(words(t)) <= most) & ~ends_sentence(t)
+    return (n_words(t) <= most) & ~ends_sentence(t)
 
 
 def is_roster(c: str | Column, titles: str = r"(?i)\b(chair|vice chair|governor|secretary|president|director|member)s?\b") -> Column:
@@ -66,7 +66,7 @@ def is_roster(c: str | Column, titles: str = r"(?i)\b(chair|vice chair|governor|
     t = _col(c)
     w = words(t)
     capital = F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}")))
-    return (F.length(F.regexp_replace(t, "[^,;]", "")) >= 3) & (capital > 0.6 * F.size(w)) & t.rlike(titles)
+    return (F.length(F.regexp_replace(t, "[^,;]+", "")) >= 3) & (capital > 0.6 * F.size(w)) & t.rlike(titles)
 
 
 def is_boilerplate(c: str | Column, patterns: list[str]) -> Column:
@@ -80,10 +80,11 @@ def paragraph_reason(c: str | Column, min_words: int = 8, disclaimer: str = r"(?
     is not dropped as numeric.
     """
     t = F.trim(_col(c))
-    w = words(t)
-    n = F.greatest(F.size(w), F.lit(1))
+    n_all = n_words(t)
+    n = F.greatest(n_all, F.lit(1))
     numeric = digit_share(t)
-    capitals = F.size(F.filter(w, lambda x: x.rlike(r"^[A-Z]{2,3}$"))) / n
+    # words of two or three capitals; the mark before the end is what Java's $ allows
+    capitals = F.regexp_count(t, F.lit(r"(?<![^\x20\x09-\x0D])[A-Z]{2,3}(?=[\u0085\u2028\u2029]?(?:[\x20\x09-\x0D]|\z))")) / n
     cites = F.regexp_count(t, F.lit(citation))
     rules = [
         ("numeric", (numeric > 0.35) | ((numeric > 0.22) & ~(looks_prose(t, 12)))),
@@ -92,7 +93,7 @@ def paragraph_reason(c: str | Column, min_words: int = 8, disclaimer: str = r"(?
         ("glossary", capitals >= 0.25),
         ("citations", (cites >= 3) & (cites / n > 0.05)),
         ("table_header", is_caps_heading(t)),
-        ("short", F.size(w) < min_words),
+        ("short", n_all < min_words),
     ]
     out = F.lit(None).cast("string")
     for name, rule in reversed(rules):
