@@ -64,7 +64,7 @@ def strip_front(lines: DataFrame, late: int = 40, within: int = 900, anchor: str
     filled = F.coalesce(four[0] != "", F.lit(False))
     for c in four[1:]:
         filled = filled & F.coalesce(c != "", F.lit(False))
-    block = filled & (F.size(TX.words(blob)) >= 30) & blob.rlike("[.?!]") & (TX.digit_share(blob) < 0.05) & blob.rlike(r"^\p{Lu}")
+    block = filled & (TX.n_words(blob) >= 30) & blob.rlike("[.?!]") & (TX.digit_share(blob) < 0.05) & blob.rlike(r"^\p{Lu}")
     rows = lines.withColumn("_next", next_filled()).withColumn("_block", block)
     after = F.col("pos") - 1 > 30
     heading = F.col("line").rlike(anchor) & after & F.col("_next").isNotNull() & ~F.coalesce(F.col("_next").rlike(PAGE_NUMBER), F.lit(False))
@@ -112,9 +112,9 @@ def clean_documents(df: DataFrame, key: str, text: str, rules: Rules = Rules(),
     ls = strip_contents(strip_front(ls))
     ls = ls.select("doc", "pos", F.when(line.rlike(rules.furniture), F.lit("")).otherwise(line).alias("line"))
     ls = L.drop_runs(ls, P.is_letter_spaced("line"), 4)
-    ls = L.drop_after_heading(ls, line.rlike(rules.roster), F.size(TX.words("line")) <= 6, 4)
+    ls = L.drop_after_heading(ls, line.rlike(rules.roster), TX.n_words("line") <= 6, 4)
     ls = drop_references(ls)
-    ls = L.drop_runs(ls, P.is_numeric_line("line"), 5, pad=(F.size(TX.words("line")) <= 3) & line.rlike(r"\d"))
+    ls = L.drop_runs(ls, P.is_numeric_line("line"), 5, pad=(TX.n_words("line") <= 3) & line.rlike(r"\d"))
     joined = L.reassemble(ls).select("doc", folds.bridge(folds.dehyphenate_by_vocabulary("text")).alias("t"))
     paras = joined.select("doc", F.posexplode(F.split("t", "\n\n")).alias("pos", "line")).withColumn("line", TX.tidy_punctuation(TX.collapse("line"))).where("line <> ''").withColumn("reason", P.paragraph_reason("line", min_words))
     per = paras.groupBy("doc", "reason").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("reason").isNull(), F.struct("pos", "line"))).alias("kept"))
