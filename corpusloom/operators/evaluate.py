@@ -77,6 +77,16 @@ def vote_table(preds: DataFrame, item: list[str], voter: str = "model", classes:
     parts = F.array_join(F.filter(F.array(*(F.when(F.col(f"v{c}") > 0, F.format_string(f"{c}:%d", F.col(f"v{c}"))) for c in classes)), lambda x: x.isNotNull()), ",")
     per = per.withColumn("said", F.concat_ws("=", F.col(voter), parts))
     out = per.groupBy(*item).agg(F.first("y_true").alias("y_true"), *(F.sum(f"v{c}").alias(f"votes_{c}") for c in classes), F.array_join(F.array_sort(F.collect_list("said")), "; ").alias("by_voter"))
+    return _decided(out, classes)
+
+
+def majorities(preds: DataFrame, item: list[str], classes: tuple[int, ...] = CLASSES) -> DataFrame:
+    """As vote_table, without the breakdown by voter: one aggregate for each item."""
+    counts = (F.count_if(F.col("y_pred") == c).alias(f"votes_{c}") for c in classes)
+    return _decided(scored(preds).groupBy(*item).agg(F.first("y_true").alias("y_true"), *counts), classes)
+
+
+def _decided(out: DataFrame, classes: tuple[int, ...]) -> DataFrame:
     votes = [F.col(f"votes_{c}") for c in classes]
     best, fits = F.greatest(*votes), reduce(lambda a, b: a + b, votes)
     major = F.coalesce(*(F.when(v == best, F.lit(c)) for c, v in zip(classes, votes, strict=True)))

@@ -62,8 +62,10 @@ def _grid(df: DataFrame, **axes: list) -> DataFrame:
     return df
 
 
-def encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _grid(_base(spark, sf_dir), tno=[0, 1], mno=[1, 2, 3, 4], run=[1, 2, 3])
+def encoder(spark: SparkSession, sf_dir: str, by_item: bool = False) -> DataFrame:
+    """by_item: items are dealt out before they are exploded, so that what groups by item needs no shuffle of all predictions."""
+    base = _base(spark, sf_dir)
+    df = _grid(base.repartition("row_idx") if by_item else base, tno=[0, 1], mno=[1, 2, 3, 4], run=[1, 2, 3])
     return df.select(F.when(F.col("tno") == 0, "north").otherwise("south").alias("train_site"), F.format_string("m%d", "mno").alias("model"), "run", F.col("site").alias("eval_site"), "row_idx", "category", "y_true", _pred(F.col("mno"), F.col("run") + 10 * F.col("tno")).alias("y_pred"))
 
 
@@ -140,13 +142,13 @@ round(greatest(votes_0, votes_1, votes_2)::DOUBLE / (votes_0 + votes_1 + votes_2
 
 @query(_VOTES + " SELECT row_idx, y_true, votes_0, votes_1, votes_2, by_voter, majority, share, tie FROM vote")
 def vote_table(spark, sf_dir):
-    return E.vote_table(encoder(spark, sf_dir), ["row_idx"])
+    return E.vote_table(encoder(spark, sf_dir, by_item=True), ["row_idx"])
 
 
 @query(f"""WITH {ENC}, c AS (SELECT train_site, model, row_idx, y_true, count(*) FILTER (y_pred = 0) AS v0, count(*) FILTER (y_pred = 1) AS v1, count(*) FILTER (y_pred = 2) AS v2 FROM enc GROUP BY ALL),
 v AS (SELECT *, CASE WHEN v0 >= v1 AND v0 >= v2 THEN 0 WHEN v1 >= v2 THEN 1 ELSE 2 END AS majority FROM c) SELECT train_site, model, y_true, majority, row_idx, round(greatest(v0, v1, v2) / 3.0, 3)::DOUBLE AS share FROM v WHERE y_true <> majority""")
 def error_cells(spark, sf_dir):
-    votes = E.vote_table(encoder(spark, sf_dir).withColumn("run", F.col("run").cast("string")), ["train_site", "model", "row_idx"], voter="run")
+    votes = E.majorities(encoder(spark, sf_dir, by_item=True), ["train_site", "model", "row_idx"])
     return votes.where("y_true <> majority").select("train_site", "model", "y_true", "majority", "row_idx", "share")
 
 
