@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,19 +76,41 @@ def balanced_quota(df: DataFrame, group: str, key: str, n: int, seed: int = 42)
     return placed.orderBy("_late", draw(seed, key), key).limit(n).drop("_rn", "_q", "_late")
 
 
+def first_of_group(df: DataFrame, by: list[str | Column], key: str, quota: Callable[[Column], Column], name: str, seed: int = 42) -> DataFrame:
+    """Column `name`: whether a row is among the first quota(n) of its group of n in the seeded order.
+
+    No group meets in one task: rows are counted by the first four digits of their draws, and only the rows of the cell in
+    which the quota ends are ranked. df is read twice.
+    """
+    groups = [f"_g{i}" for i in range(len(by))]
+    rows = df.withColumns({g: F.col(b) if isinstance(b, str) else b for g, b in zip(groups, by, strict=True)}).withColumn("_draw", draw(seed, key)).withColumn("_cell", F.substring("_draw", 1, 4))
+    cells = rows.groupBy(*groups, "_cell").agg(F.count("*").alias("_m"))
+    whole = W.partitionBy(*groups)
+    upto = F.sum("_m").over(whole.orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow))
+    cells = cells.withColumn("_upto", upto).withColumn("_q", quota(F.sum("_m").over(whole)))
+    # the last cell that the quota reaches, and how many of its rows are in
+    reached = F.col("_upto") - F.col("_m") < F.col("_q")
+    ends = cells.where(reached).groupBy(*(F.col(g).alias(f"_e{g}") for g in groups)).agg(F.max(F.struct("_cell", (F.col("_q") - F.col("_upto") + F.col("_m")).alias("left"))).alias("_end"))
+    met = [F.col(g).eqNullSafe(F.col(f"_e{g}")) for g in groups]
+    both = rows.join(F.broadcast(ends), reduce(lambda a, b: a & b, met), "left")
+    at = F.col("_cell") == F.col("_end._cell")
+    # rows of other cells are spread by their own cells, which no rank is needed for
+    rank = F.row_number().over(W.partitionBy(*groups, "_cell").orderBy("_draw", F.col(key)))
+    chosen = F.when(F.col("_end").isNull(), False).when(at, rank <= F.col("_end.left")).otherwise(F.col("_cell") < F.col("_end._cell"))
+    return both.withColumn(name, chosen).select(*df.columns, name)
+
+
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.15, seed: int = 42, at_least: int = 1) -> DataFrame:
     """Column split: of each label, max(at_least, round(fraction * n)) rows are 'val', the others 'train'."""
-    rn = F.row_number().over(W.partitionBy(label).orderBy(draw(seed, key), F.col(key)))
-    n = F.count("*").over(W.partitionBy(label))
-    return df.withColumn("split", F.when(rn <= F.greatest(F.lit(at_least), F.rint(n * fraction)), "val").otherwise("train"))
+    rows = first_of_group(df, [label], key, lambda n: F.greatest(F.lit(at_least), F.rint(n * fraction)), "_val", seed)
+    return rows.withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_val")
 
 
 def chronological_split(df: DataFrame, date: str, label: str, key: str, cutoff: Column, test_share: float = 0.67, seed: int = 42) -> DataFrame:
     """Column split: 'train' before cutoff; of each label after it, `test_share` 'test' and the others 'val'."""
     late = F.col(date) >= cutoff
-    rn = F.row_number().over(W.partitionBy(late, F.col(label)).orderBy(draw(seed, key), F.col(key)))
-    n = F.count("*").over(W.partitionBy(late, F.col(label)))
-    return df.withColumn("split", F.when(~late, "train").when(rn <= F.rint(n * test_share), "test").otherwise("val"))
+    rows = first_of_group(df, [late, label], key, lambda n: F.rint(n * test_share), "_test", seed)
+    return rows.withColumn("split", F.when(~late, "train").when(F.col("_test"), "test").otherwise("val")).drop("_test")
 
 
 def date_quantile(df: DataFrame, date: str, q: float) -> DataFrame:
