@@ -6,11 +6,14 @@ They run in Arrow batches, a document at a time, so memory is bounded by the lon
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate, groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,10 +138,22 @@ def pack_ids(sentences: list[list[int]], room: int = 510, first: int = 101, last
     return [([first, *b, last], [1, *[0] * len(b), 1]) for b in blocks]
 
 
+#: Characters, or ids, of a piece of a batch: what is held as Python objects at a time, besides the longest document.
+_PIECE = 1 << 20
+
+
 def _scalar(f):
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f(x))
+    @F.arrow_udf(T.StringType())
+    def run(s: pa.Array) -> pa.Array:
+        done, piece, size = [], [], 0
+        for x in s:
+            x = x.as_py()
+            piece.append(None if x is None else f(x))
+            size += len(x or "")
+            if size >= _PIECE:
+                done.append(pa.array(piece, pa.string()))
+                piece, size = [], 0
+        return pa.concat_arrays([*done, pa.array(piece, pa.string())])
 
     return run
 
@@ -164,14 +179,27 @@ def packed_blocks(df: DataFrame, key: str, text: str, room: int = 510, buckets:
     """(key, block, input_ids, special_tokens_mask): sentences as hashed word ids, packed, never across documents."""
     kinds = dict(df.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         for b in batches:
-            rows = []
-            for k, t in b.itertuples(index=False):
-                ids = [[1000 + zlib.crc32(w.lower().encode()) % buckets for w in _TOKEN.findall(s)] for s in re.split(r"(?<=[.!?])\s+", t or "")]
-                rows += [(k, i, x, m) for i, (x, m) in enumerate(pack_ids([x for x in ids if x], room))]
-            yield pd.DataFrame(rows, columns=[key, "block", "input_ids", "special_tokens_mask"])
-
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kinds[key]}, block int, input_ids array<int>, special_tokens_mask array<int>")
+            rows, ids_all, mask_all, ends = [], array("i"), array("i"), array("i", [0])
+
+            def piece() -> pa.RecordBatch:
+                ids, mask = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(a, np.int32))) for a in (ids_all, mask_all))
+                keys = b.column(0).take(pa.array([r for r, _ in rows], pa.int64()))
+                return pa.RecordBatch.from_arrays([keys, pa.array([i for _, i in rows], pa.int32()), ids, mask], names=[key, "block", "input_ids", "special_tokens_mask"])
+
+            for r, t in enumerate(b.column(1)):
+                ids = [[1000 + zlib.crc32(w.lower().encode()) % buckets for w in _TOKEN.findall(s)] for s in re.split(r"(?<=[.!?])\s+", t.as_py() or "")]
+                for i, (x, m) in enumerate(pack_ids([x for x in ids if x], room)):
+                    rows.append((r, i))
+                    ids_all.extend(x)
+                    mask_all.extend(m)
+                    ends.append(len(ids_all))
+                if len(ids_all) >= _PIECE:
+                    yield piece()
+                    rows, ids_all, mask_all, ends = [], array("i"), array("i"), array("i", [0])
+            yield piece()
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kinds[key]}, block int, input_ids array<int>, special_tokens_mask array<int>")
